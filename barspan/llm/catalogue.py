@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barspan.llm import near_dups, token_files
+from barspan.llm import near_dups, packing, token_files
 
-QUERIES = {f.__name__: f for f in (token_files.op4_token_files, near_dups.op8_near_duplicates)}
+QUERIES = {f.__name__: f for f in (token_files.op4_token_files, near_dups.op8_near_duplicates, packing.op9_pack_sequences)}
 ORACLE_SQL: dict[str, str] = {}
