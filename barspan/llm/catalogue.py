@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from barspan.llm import near_dups, packing, token_files
+from barspan.llm import near_dups, packing, secret_scan, token_files
 
-QUERIES = {f.__name__: f for f in (token_files.op4_token_files, near_dups.op8_near_duplicates, packing.op9_pack_sequences)}
+QUERIES = {f.__name__: f for f in (
+        token_files.op4_token_files,
+        secret_scan.op6_secret_scan,
+        near_dups.op8_near_duplicates,
+        packing.op9_pack_sequences,
+    )}
 ORACLE_SQL: dict[str, str] = {}

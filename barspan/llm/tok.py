@@ -13,9 +13,11 @@ import pyarrow.compute as pc
 #: End id appended to each document.
 END_ID = 2
 #: Words whose ids a worker keeps at once, in each of two generations: bounds its memory.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 250_000
 #: The vocabulary's first control token: parts the words that go to the library in one call.
 MARK = "<|startoftext|>"
+#: A letter, then marks that end a word: always two pieces of the vocabulary's splitting rule.
+ENDING = r"([a-z\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}])([,.|!?:;#$%&*]+) "
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -29,8 +31,8 @@ class WordEncoder:
 
     The vocabulary's splitting rule never joins characters across a blank or line feed and drops
     both, and its normaliser lower-cases; so a text's ids are the ids of its words, A-Z lower-cased, in
-    a row. Each distinct word is encoded by the library and kept. Texts that might hold a control
-    token's string go to the library whole, as they are.
+    a row. Marks that end a word count as a word. Each distinct word is encoded by the library and kept.
+    Texts that might hold a control token's string go to the library whole, as they are.
     """
 
     def __init__(self, path: str):
@@ -39,6 +41,8 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.mark = self.library.token_to_id(MARK)
+        self.ends = np.zeros(self.library.get_vocab_size(with_added_tokens=True), bool)
+        self.ends[[k for word, k in self.library.get_vocab().items() if word.endswith("</w>")]] = True
         self.now: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
 
@@ -46,13 +50,25 @@ class WordEncoder:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _learn(self, words: list[str]) -> None:
+        """Words of letters alone are one piece each, whose last id says so; others are parted by the control token."""
+        letters = [w for w in words if w.isalpha()]
+        for part, ids in self._together(letters, " "):
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                self._keep(part, ids, cuts - np.diff(cuts, prepend=0), cuts)
+        rest = [w for w in words if w not in self.now]
+        for part, ids in self._together(rest, MARK):
+            cuts = np.flatnonzero(ids == self.mark)
+            self._keep(part, ids, np.append(0, cuts + 1), np.append(cuts, len(ids)))
+
+    def _together(self, words: list[str], between: str):
         parts = [words[k : k + 1000] for k in range(0, len(words), 1000)]
-        for part, found in zip(parts, self.library.encode_batch_fast([MARK.join(p) for p in parts], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, dtype="<u4")
-            cuts, raw, start = (np.flatnonzero(ids == self.mark) * 4).tolist(), ids.tobytes(), 0
-            for word, cut in zip(part, [*cuts, len(raw)], strict=True):
-                self.now[word] = raw[start:cut]
-                start = cut + 4
+        found = self.library.encode_batch_fast([between.join(p) for p in parts], add_special_tokens=False)
+        return [(p, np.array(f.ids, dtype="<u4")) for p, f in zip(parts, found, strict=True)]
+
+    def _keep(self, words: list[str], ids: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        raw = ids.tobytes()
+        self.now.update({w: raw[a:b] for w, a, b in zip(words, (starts * 4).tolist(), (ends * 4).tolist(), strict=True)})
 
     def _words(self, words: list[str]) -> list[bytes]:
         if len(self.now) > CACHED_WORDS:
@@ -75,16 +91,19 @@ class WordEncoder:
         held = {int(k): self.alone(texts[int(k)].as_py()) for k in special}
         if held:
             texts = pc.if_else(pc.match_substring(texts, "<|"), pa.scalar("", pa.large_string()), texts)
-        lists = pc.split_pattern(pc.ascii_lower(pc.replace_substring(texts, "\n", " ")), " ")
+        flat = pc.ascii_lower(pc.replace_substring(texts, "\n", " "))
+        lists = pc.split_pattern(pc.replace_substring_regex(flat, ENDING, r"\1 \2 "), " ")
         coded = pc.dictionary_encode(lists.flatten())
         codes = coded.indices.to_numpy()
         found = self._words(coded.dictionary.to_pylist())
-        of_word = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        of_word = np.fromiter(map(len, found), np.int32, len(found)) // 4
         pool = np.frombuffer(b"".join(found), "<u4")
-        first = np.cumsum(of_word) - of_word
         each = of_word[codes]
-        ends = np.concatenate(([0], np.cumsum(each)))
-        ids = pool[np.repeat(first[codes] - ends[:-1], each) + np.arange(ends[-1])]
+        ends = np.concatenate(([0], np.cumsum(each, dtype=np.int64)))
+        shift = np.cumsum(of_word, dtype=np.int32)[codes] - ends[1:].astype(np.int32)
+        at = np.repeat(shift, each)
+        at += np.arange(len(at), dtype=np.int32)
+        ids = pool[at]
         bounds = ends[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         counts = np.diff(bounds)
         if held:
