@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from barspan.llm import near_dups, packing, secret_scan, token_files
+from barspan.llm import near_dups, packing, quality, secret_scan, token_files
 
 QUERIES = {f.__name__: f for f in (
+        quality.op1_quality,
         token_files.op4_token_files,
         secret_scan.op6_secret_scan,
         near_dups.op8_near_duplicates,

@@ -33,13 +33,13 @@ def powers(n: int, base: np.uint64 = _BASE) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-#: Powers of the base and of its inverse modulo 2**64, for runs of bytes up to this many.
+#: Powers of the base modulo 2**64; a word of more bytes than this begins them again, otherwise mixed.
 _RUN = 1 << 16
 _POW = powers(_RUN)
 
 
-def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
-    """(first word of each text, with the total at the end; a 64-bit hash of each word's bytes).
+def word_places(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(all texts' bytes, each text's first byte with the end, first byte of each word, byte after it).
 
     Words are runs of bytes other than the six ASCII blanks, so of whole characters in UTF-8. Null texts have none.
     """
@@ -47,26 +47,33 @@ def word_hashes(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.nda
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
     offsets = offsets - offsets[0]
-    raw = np.empty(len(data) + 1, np.uint8)
-    raw[:-1], raw[-1] = (_LOWER[data] if lower else data), 0x20
-    solid = ~_SPACE[raw]
+    solid = ~_SPACE[data]
     begins = solid.copy()
     begins[1:] &= ~solid[:-1]
-    inner = offsets[:-1][offsets[:-1] < len(data)]
-    begins[inner] = solid[inner]  # a text's first byte starts a word even right after another text
+    firsts = offsets[:-1][offsets[:-1] < len(data)]
+    begins[firsts] = solid[firsts]  # a text's first byte starts a word even right after another text's last
     starts = np.flatnonzero(begins)
+    stops = np.append(np.flatnonzero(~solid), len(data))
+    ends = np.minimum(np.append(starts[1:], len(data)), stops[np.searchsorted(stops, starts)]) if len(starts) else starts
+    return data, offsets, starts, ends
+
+
+def word_hashes(texts: pa.Array, lower: bool = True, places: tuple | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each text, with the total at the end; a 64-bit hash of each word's bytes)."""
+    data, offsets, starts, ends = places or word_places(texts)
     if not len(starts):
-        return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.uint64)
-    # A word ends where the next blank, or the next text, begins.
-    ends = np.minimum(np.append(starts[1:], len(data)), np.flatnonzero(~solid)[np.searchsorted(np.flatnonzero(~solid), starts)])
+        return np.zeros(len(offsets), np.int64), np.zeros(0, np.uint64)
+    length = ends - starts
     place = np.zeros(len(data), np.int64)
     place[starts] = np.diff(starts, prepend=0)
     place = np.arange(len(data)) - np.cumsum(place)  # within its word; blanks count on but weigh nothing
-    terms = (raw[:-1].astype(np.uint64) + np.uint64(1)) * _POW[np.minimum(place, _RUN - 1) if len(place) and place.max() >= _RUN else place]
-    terms[~solid[:-1]] = 0
-    if len(place) and place.max() >= _RUN:
-        terms[place >= _RUN] *= mixed(place[place >= _RUN].astype(np.uint64)) | np.uint64(1)
-    hashes = mixed(np.add.reduceat(terms, starts) ^ ((ends - starts).astype(np.uint64) * _MIX))
+    raw = _LOWER[data] if lower else data
+    terms = (raw.astype(np.uint64) + np.uint64(1)) * _POW[place & (_RUN - 1)]
+    terms[_SPACE[data]] = 0
+    if length.max() > _RUN:
+        far = place >= _RUN
+        terms[far] *= mixed((place[far] // _RUN).astype(np.uint64)) | np.uint64(1)
+    hashes = mixed(np.add.reduceat(terms, starts) ^ (length.astype(np.uint64) * _MIX))
     return np.searchsorted(starts, offsets), hashes
 
 
