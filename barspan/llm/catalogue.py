@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from barspan.llm import near_dups, packing, quality, secret_scan, token_files
+from barspan.llm import mixing, near_dups, packing, quality, secret_scan, token_files, warc
 
 QUERIES = {f.__name__: f for f in (
         quality.op1_quality,
         token_files.op4_token_files,
+        mixing.op5_mix_sources,
         secret_scan.op6_secret_scan,
         near_dups.op8_near_duplicates,
         packing.op9_pack_sequences,
+        warc.op10_warc,
     )}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op10_warc": warc.OP10_SQL}
