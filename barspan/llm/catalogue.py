@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from barspan.llm import mixing, near_dups, packing, quality, secret_scan, token_files, warc
+from barspan.llm import bit_search, embed_dups, mixing, near_dups, packing, quality, secret_scan, token_files, warc
 
 QUERIES = {f.__name__: f for f in (
         quality.op1_quality,
+        embed_dups.op3_vector_dups,
         token_files.op4_token_files,
         mixing.op5_mix_sources,
         secret_scan.op6_secret_scan,
+        bit_search.op7_bit_search,
         near_dups.op8_near_duplicates,
         packing.op9_pack_sequences,
         warc.op10_warc,
