@@ -37,6 +37,8 @@ SKETCH_BITS = 512
 ESTIMATE = 0.58
 #: Members confirmed in one task together with their centre.
 BLOCK = 64
+#: Members of a bucket that meet in one task: outside its largest part, and of all.
+CROSS = 256, 512
 
 
 @functools.cache
@@ -140,6 +142,56 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.groupBy("a", "block").applyInArrow(compare, "a long, b long")
 
 
+def across(members: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links (a, b) between different parts of a bucket, from ``members`` (key, doc_id, part).
+
+    Members outside the bucket's largest part meet all its members, in blocks of bounded size that compare
+    sketches and then whole sets and only emit links. A pair is compared in the first bucket that both are in.
+    """
+    sizes = members.groupBy("key", "part").count().groupBy("key")
+    sizes = sizes.agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.max("count").alias("largest"), F.sum("count").alias("all"))
+    parts = [F.ceil((F.col("all") - F.col("largest")) / CROSS[0]), F.ceil(F.col("all") / CROSS[1])]
+    sided = members.join(sizes.select("key", "main", *(p.alias(n) for p, n in zip(parts, ("rows", "columns"), strict=True))), "key")
+    sided = sided.withColumn("in_main", F.col("part") == F.col("main"))
+    one, each = F.pmod(F.xxhash64("doc_id", F.lit(1)), "rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j")
+    small = sided.where("not in_main").select("key", "doc_id", "part", "in_main", F.lit(True).alias("left"), one, each)
+    one, each = F.pmod(F.xxhash64("doc_id", F.lit(2)), "columns").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i")
+    whole = sided.select("key", "doc_id", "part", "in_main", F.lit(False).alias("left"), each, one)
+    held = members.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # at most BANDS
+    held = held.join(sketches, "doc_id").join(docs.select("doc_id", "text"), "doc_id")
+    rows = small.unionByName(whole).join(held, "doc_id")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        left = table["left"].to_numpy()
+        key = table["key"][0].as_py()
+        bounds, hashes = shingles.distinct_in_runs(*shingles.shingle_hashes(table["text"].combine_chunks(), WORDS))
+        sizes = np.diff(bounds)
+        bits = np.array(table["sketch"].to_pylist(), np.int64)
+        part, doc, main = (table[c].to_numpy() for c in ("part", "doc_id", "in_main"))
+        # Buckets before this one, as columns: their product counts the earlier buckets that two members share.
+        lists = table["keys"].to_pylist()
+        number = {k: n for n, k in enumerate({k for ks in lists for k in ks if k < key})}
+        earlier = np.zeros((len(lists), max(1, len(number))), np.float32)
+        for n, ks in enumerate(lists):
+            earlier[n, [number[k] for k in ks if k in number]] = 1
+        rows, columns = np.flatnonzero(left), np.flatnonzero(~left)
+        out = []
+        for r in rows:
+            flips = np.bitwise_count((bits[r] ^ bits[columns]).view(np.uint64)).sum(1)
+            near = (flips <= least_flips(ESTIMATE)) & (part[r] != part[columns]) & (main[columns] | (doc[r] < doc[columns])) & (earlier[columns] @ earlier[r] == 0)
+            near = columns[near]
+            if len(near):
+                one = hashes[bounds[r] : bounds[r + 1]]
+                others = np.concatenate([hashes[bounds[c] : bounds[c + 1]] for c in near])
+                hit = one[np.minimum(np.searchsorted(one, others), len(one) - 1)] == others
+                both = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[near]) - sizes[near])
+                out += [(doc[r], doc[c]) for c in near[100 * both >= PERCENT * (len(one) + sizes[near] - both)]]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return rows.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), kept (it is its component's least)."""
     signed = common.written(signatures(docs), "signatures")
@@ -150,11 +202,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = sets.join(first.select(F.col("rep").alias("doc_id"), "same", "same2"), ["doc_id", "same", "same2"], "left_semi").dropDuplicates(["doc_id", "same", "same2"])
     reps = common.written(reps.select("doc_id", "bands", "sketch"), "classes")
     keys = reps.select("doc_id", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a < z").select("key", "a")
     # Only members of buckets that hold more than one class go on.
-    shared = common.written(keys.join(shared, "key").select("key", "doc_id", "a"), "buckets")
+    crowd = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = common.written(keys.join(crowd, "key"), "buckets")
+    # The member that shares the most places is the centre of its buckets: the text that others are copies of, if it is there.
+    company = shared.groupBy("doc_id").agg(F.sum("size").alias("company"))
+    ranked = shared.join(company, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("company", -F.col("doc_id"))).alias("a"))
     bits = reps.select("doc_id", "sketch")
-    # The whole texts cross the network once, and only those that have company in a bucket are kept for comparing.
+    # Whole texts cross the network once, and only those that have company in a bucket are kept for comparing.
     docs = common.written(docs.select("doc_id", "text").join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
 
     def promising(pairs: DataFrame) -> DataFrame:
@@ -171,8 +226,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         held = common.written(now.join(open_, "key"), "open")
         return parts, held, not held.isEmpty()
 
-    # First each bucket's least member is the centre: many buckets then ask for the same pairs.
-    links = common.written(confirmed(promising(shared.select("a", F.col("doc_id").alias("b"))), docs), "links")
+    # First one centre for each bucket; buckets of one group mostly have the same, and ask for the same pairs.
+    links = common.written(confirmed(promising(shared.join(ranked, "key").select("a", F.col("doc_id").alias("b"))), docs), "links")
     parts, now, more = apart(links)
     if more:
         # Then a centre of its own for each bucket that is still in parts.
@@ -184,12 +239,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             parts, now, more = apart(links)
     if more:
         # Then all that is still apart, outside each bucket's largest part, against all other parts.
-        sizes = now.groupBy("key", "part").count().groupBy("key").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
-        sided = now.join(sizes, "key").select("key", "doc_id", "part", (F.col("part") == F.col("main")).alias("in_main"))
-        small = sided.where("not in_main").select("key", F.col("doc_id").alias("a"), F.col("part").alias("pa"))
-        rest = sided.select("key", F.col("doc_id").alias("b"), F.col("part").alias("pb"), "in_main")
-        pairs = small.join(rest, "key").where("pa <> pb and (in_main or a < b)").select("a", "b")
-        found = common.written(confirmed(promising(pairs), docs), "links")
+        found = common.written(across(now, docs, bits), "links")
         if not found.isEmpty():
             parts = common.components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(found))
     found = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
