@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from barspan.llm import bit_search, embed_dups, mixing, near_dups, packing, quality, secret_scan, token_files, warc
+from barspan.llm import bit_search, embed_dups, license_scan, mixing, near_dups, packing, quality, secret_scan, token_files, warc
 
 QUERIES = {f.__name__: f for f in (
         quality.op1_quality,
+        license_scan.op2_license_scan,
         embed_dups.op3_vector_dups,
         token_files.op4_token_files,
         mixing.op5_mix_sources,
