@@ -80,7 +80,7 @@ def issues(bars: DataFrame, *, max_gap_days: int = 5, split_ratio_threshold: flo
         issue(F.col("bad_volume"), "negative_volume", ERROR, F.lit("volume has negative values")),
         issue(~F.col("consistent"), "ohlc_inconsistent", ERROR, F.lit("low or high does not bracket open and close")),
         issue(F.col("gaps") > 0, "calendar_gap", WARNING, F.format_string(f"%d gaps of more than {max_gap_days} calendar days", "gaps")),
-        issue(F.col("jumps") > 0, "possible_corporate_action", WARNING, F.format_string(f"%d moves of more than {split_ratio_threshold:.0%}%%", "jumps")),
+        issue(F.col("jumps") > 0, "possible_corporate_action", WARNING, F.concat(F.col("jumps").cast("string"), F.lit(f" moves of more than {split_ratio_threshold:.0%}"))),
     ]
     by_ticker = m.select(F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x")).select("x.*")
     keys = bars.select(F.struct("date", "ticker").alias("k")).agg((F.count("*") - F.count_distinct("k")).alias("n"))

@@ -2,5 +2,420 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from barspan.functions import distributions
+from barspan.operators import backtest, discovery, panel, quality_rules, signals, walkforward
+from barspan.plans import fixture
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: A day in the middle of the bars, and strategy settings at which the bars trade.
+DAY = "1996-06-30"
+TRADE = {"entry": 1.0, "exit": 0.25, "stop": 2.0}
+ANALYSED = ("AO", "AF")
+
+
+def query(sql: str | None = None, dirty: bool = False):
+    """Register a function by its name, with SQL over ``bars`` (date, ticker, ...), or over ``dirty``, if there is any."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            more = f", dirty AS ({fixture.DIRTY_SQL})" if dirty else ""
+            ORACLE_SQL[f.__name__] = f"WITH RECURSIVE {fixture.WALKS_SQL}, bars AS ({fixture.BARS_SQL}){more}{sql}"
+        return f
+
+    return register
+
+
+def r(name: str, digits: int = 8, of=None):
+    return F.round(F.col(name) if of is None else of, digits).alias(name)
+
+
+# Bars, panels, returns.
+
+
+@query(" SELECT date, ticker, ROUND(open, 6) AS open, ROUND(high, 6) AS high, ROUND(low, 6) AS low, ROUND(close, 6) AS close, ROUND(adj_close, 6) AS adj_close, volume FROM bars")
+def bars_daily(spark, sf):
+    return fixture.derived_bars(spark, sf).select("date", "ticker", *(r(c, 6) for c in ("open", "high", "low", "close", "adj_close")), "volume")
+
+
+@query(" SELECT date, MAX(CASE WHEN ticker = 'AF' THEN adj_close END) AS AF, MAX(CASE WHEN ticker = 'AO' THEN adj_close END) AS AO, MAX(CASE WHEN ticker = 'NF' THEN adj_close END) AS NF, MAX(CASE WHEN ticker = 'NO' THEN adj_close END) AS NO, MAX(CASE WHEN ticker = 'RF' THEN adj_close END) AS RF, MAX(CASE WHEN ticker = 'RO' THEN adj_close END) AS RO FROM bars GROUP BY date")
+def price_panel(spark, sf):
+    return panel.wide(panel.price_panel(fixture.derived_bars(spark, sf)), tickers=["AF", "AO", "NF", "NO", "RF", "RO"])
+
+
+@query(" SELECT date, ticker, ROUND(open * adj_close / close, 8) AS adj_open FROM bars")
+def adjusted_open(spark, sf):
+    return panel.adjusted_open(fixture.derived_bars(spark, sf)).select("date", "ticker", r("adj_open"))
+
+
+_RETURNS = """, clock AS (SELECT date, ROW_NUMBER() OVER (ORDER BY date) AS day_no FROM (SELECT DISTINCT date FROM bars) d),
+p AS (SELECT b.date, b.ticker, c.day_no, LN(b.adj_close) AS lpx FROM bars b JOIN clock c ON c.date = b.date),
+ret AS (SELECT *, CASE WHEN LAG(day_no) OVER (PARTITION BY ticker ORDER BY day_no) = day_no - 1 THEN lpx - LAG(lpx) OVER (PARTITION BY ticker ORDER BY day_no) END AS ret FROM p)"""
+
+
+@query(_RETURNS + " SELECT date, ticker, day_no, ROUND(lpx, 8) AS lpx, ROUND(ret, 8) AS ret FROM ret")
+def log_returns(spark, sf):
+    return panel.log_returns(panel.price_panel(fixture.derived_bars(spark, sf))).select("date", "ticker", F.col("day_no").cast("long").alias("day_no"), r("lpx"), r("ret"))
+
+
+@query(f" SELECT date, ROW_NUMBER() OVER (ORDER BY date) AS day_no FROM (SELECT DISTINCT date FROM bars WHERE date BETWEEN TIMESTAMP '1995-01-01 00:00:00' AND TIMESTAMP '{DAY} 00:00:00') d")
+def trading_days(spark, sf):
+    days = panel.trading_days(panel.price_panel(fixture.derived_bars(spark, sf)), "1995-01-01", DAY)
+    return days.select("date", F.col("day_no").cast("long").alias("day_no"))
+
+
+@query(" SELECT COUNT(DISTINCT ticker) AS tickers, COUNT(*) AS bars FROM bars")
+def ticker_count(spark, sf):
+    return fixture.derived_bars(spark, sf).agg(F.count_distinct("ticker").alias("tickers"), F.count("*").alias("bars"))
+
+
+@query(f" SELECT date, ticker, ROUND(adj_close, 8) AS adj_close FROM bars WHERE ticker IN ('AF', 'RO') AND date <= TIMESTAMP '{DAY} 00:00:00'")
+def stored_bars(spark, sf):
+    """Written by ticker, and read again with two partitions."""
+    import uuid
+
+    from barspan.sources import storage
+    from barspan.tables import shared_folder
+
+    root = storage.write_bars(fixture.derived_bars(spark, sf), f"{shared_folder(spark)}/bars-{uuid.uuid4().hex}")
+    return storage.read_bars(spark, root, ["AF", "RO"]).where(F.col("date") <= F.lit(DAY).cast("timestamp_ntz")).select("date", "ticker", r("adj_close"))
+
+
+# Rules.
+
+
+@query(" SELECT COUNT(*) - COUNT(DISTINCT ticker || CAST(date AS VARCHAR)) AS repeated FROM dirty", dirty=True)
+def validate_duplicates(spark, sf):
+    found = quality_rules.issues(fixture.dirty_bars(spark, sf)).where("code = 'duplicate_rows'")
+    return found.select(F.regexp_extract("message", r"^(\d+)", 1).cast("long").alias("repeated"))
+
+
+_ORDERED = """, o AS (SELECT *, LAG(date) OVER (PARTITION BY ticker ORDER BY date) AS pd, LAG(adj_close) OVER (PARTITION BY ticker ORDER BY date) AS pa FROM dirty)"""
+
+
+@query(_ORDERED + """ SELECT ticker, COUNT(date) - COUNT(DISTINCT date) AS repeated_dates, BOOL_OR(close <= 0) AS bad_close, BOOL_OR(volume < 0) AS bad_volume,
+  BOOL_AND(low <= LEAST(open, close) + 1e-9 AND high >= GREATEST(open, close) - 1e-9) AS consistent,
+  COUNT(*) FILTER (WHERE EXTRACT(EPOCH FROM date) - EXTRACT(EPOCH FROM pd) >= 6 * 86400) AS gaps, COUNT(*) FILTER (WHERE ABS((adj_close - pa) / pa) > 0.4) AS jumps FROM o GROUP BY ticker""", dirty=True)
+def validate_rules(spark, sf):
+    m = quality_rules.measures(fixture.dirty_bars(spark, sf))
+    return m.select("ticker", "repeated_dates", "bad_close", "bad_volume", "consistent", "gaps", "jumps")
+
+
+@query(""", i AS (SELECT ticker, COUNT(date) > COUNT(DISTINCT date) AS a, BOOL_OR(close <= 0) AS b, BOOL_OR(volume < 0) AS c, NOT BOOL_AND(low <= LEAST(open, close) + 1e-9 AND high >= GREATEST(open, close) - 1e-9) AS d FROM dirty GROUP BY ticker)
+  SELECT ticker, code FROM (SELECT ticker, 'unsorted_dates' AS code FROM i WHERE a UNION ALL SELECT ticker, 'nonpositive_price' FROM i WHERE b UNION ALL SELECT ticker, 'negative_volume' FROM i WHERE c UNION ALL SELECT ticker, 'ohlc_inconsistent' FROM i WHERE d UNION ALL SELECT NULL, 'duplicate_rows') x""", dirty=True)
+def validate_errors(spark, sf):
+    return quality_rules.issues(fixture.dirty_bars(spark, sf)).where("severity = 'error'").select("ticker", "code")
+
+
+# Point-in-time reads.
+
+
+@query(" SELECT ticker, MIN(date) AS first_date, MAX(date) AS last_date FROM bars GROUP BY ticker")
+def membership(spark, sf):
+    return fixture.universe(spark, sf).membership.intervals
+
+
+@query(" , m AS (SELECT ticker, MIN(date) AS a, MAX(date) AS b FROM bars GROUP BY ticker) SELECT d.date, COUNT(*) AS members, MIN(m.ticker) AS first_ticker FROM (SELECT DISTINCT date FROM bars) d JOIN m ON d.date BETWEEN m.a AND m.b GROUP BY d.date")
+def members_as_of(spark, sf):
+    u = fixture.universe(spark, sf)
+    return u.membership.on(u.trading_days()).groupBy("date").agg(F.count("*").alias("members"), F.min("ticker").alias("first_ticker"))
+
+
+_MEMBERS = f", m AS (SELECT ticker FROM bars GROUP BY ticker HAVING TIMESTAMP '{DAY} 00:00:00' BETWEEN MIN(date) AND MAX(date))"
+
+
+@query(_MEMBERS + f" SELECT date, ticker, ROUND(adj_close, 8) AS px FROM bars WHERE date <= TIMESTAMP '{DAY} 00:00:00' AND ticker IN (SELECT ticker FROM m)")
+def as_of_panel(spark, sf):
+    return fixture.universe(spark, sf).as_of(DAY).select("date", "ticker", r("px"))
+
+
+@query(_MEMBERS + f" SELECT date, ticker, ROUND(adj_close, 8) AS px FROM bars WHERE ticker IN (SELECT ticker FROM m) AND date IN (SELECT DISTINCT date FROM bars WHERE date <= TIMESTAMP '{DAY} 00:00:00' ORDER BY date DESC LIMIT 30)")
+def window_panel(spark, sf):
+    return fixture.universe(spark, sf).window(DAY, 30).select("date", "ticker", r("px"))
+
+
+@query(_MEMBERS + f" SELECT ticker, ROUND(adj_close, 8) AS px FROM bars WHERE ticker IN (SELECT ticker FROM m) AND date = (SELECT MAX(date) FROM bars WHERE date <= TIMESTAMP '{DAY} 00:00:00')")
+def close_row(spark, sf):
+    return fixture.universe(spark, sf).close_row(DAY).select("ticker", r("px"))
+
+
+@query(f" SELECT MAX(date) AS date FROM bars WHERE date <= TIMESTAMP '{DAY} 12:00:00'")
+def asof_date(spark, sf):
+    return spark.createDataFrame([(fixture.universe(spark, sf).asof_date(f"{DAY} 12:00:00"),)], "date timestamp_ntz")
+
+
+@query(""", x AS (SELECT date, ticker, adj_close, volume, ROUND(open * adj_close / close, 8) AS adj_open, LN(adj_close) - LAG(LN(adj_close)) OVER (PARTITION BY ticker ORDER BY date) AS rr FROM bars)
+  SELECT date, ticker, ROUND(adj_close, 8) AS px, adj_open, ROUND(AVG(volume) OVER w20, 4) AS adv,
+    ROUND(CASE WHEN COUNT(rr) OVER w20 >= 2 THEN STDDEV_POP(rr) OVER w20 END, 8) AS vol
+  FROM x WINDOW w20 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def features_asof(spark, sf):
+    """Price, adjusted open, daily volume and volatility that an order meets."""
+    return fixture.universe(spark, sf).features().select("date", "ticker", r("px"), r("adj_open"), r("adv", 4), r("vol"))
+
+
+@query(""", d AS (SELECT DISTINCT date FROM bars), t AS (SELECT ticker, MIN(date) AS a, MAX(date) AS b FROM bars GROUP BY ticker),
+  x AS (SELECT d.date, t.ticker, b.adj_close FROM d CROSS JOIN t LEFT JOIN bars b ON b.date = d.date AND b.ticker = t.ticker WHERE d.date BETWEEN t.a AND t.b)
+  SELECT date, ticker, ROUND(LAST_VALUE(adj_close IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 8) AS px FROM x""")
+def price_as_of(spark, sf):
+    """The last known price of every member on every day."""
+    u = fixture.universe(spark, sf)
+    asked = u.membership.on(u.trading_days())
+    past = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return asked.join(u._prices, ["date", "ticker"], "left").select("date", "ticker", F.round(F.last("px", ignorenulls=True).over(past), 8).alias("px"))
+
+
+# Signals.
+
+_PAIRS = _RETURNS + """, j AS (SELECT a.ticker AS x, b.ticker AS y, a.lpx AS lx, b.lpx AS ly, CASE WHEN b.ret IS NOT NULL THEN a.ret END AS rx, CASE WHEN a.ret IS NOT NULL THEN b.ret END AS ry FROM ret a JOIN ret b ON a.date = b.date AND a.ticker < b.ticker)"""
+
+
+@query(_PAIRS + " SELECT x, y, COUNT(*) AS overlap, ROUND(CORR(rx, ry), 7) AS correlation, ROUND(REGR_SLOPE(ly, lx), 7) AS beta, ROUND(REGR_INTERCEPT(ly, lx), 6) AS alpha FROM j GROUP BY x, y")
+def pair_correlation(spark, sf):
+    rows = panel.log_returns(panel.price_panel(fixture.derived_bars(spark, sf)))
+    return discovery.pair_statistics(rows).select("x", "y", "overlap", r("correlation", 7), r("beta", 7), r("alpha", 6))
+
+
+_SPREAD = f""", sp AS (SELECT a.date, LN(a.adj_close) AS ly, LN(b.adj_close) AS lx FROM bars a JOIN bars b ON a.date = b.date AND a.ticker = '{ANALYSED[0]}' AND b.ticker = '{ANALYSED[1]}'),
+co AS (SELECT REGR_SLOPE(ly, lx) AS beta, REGR_INTERCEPT(ly, lx) AS alpha, COUNT(*) AS n FROM sp),
+s AS (SELECT date, ly, lx, ly - alpha - beta * lx AS spread FROM sp, co)"""
+
+
+def _legs(spark, sf) -> DataFrame:
+    rows = panel.price_panel(fixture.derived_bars(spark, sf)).withColumn("l", F.ln("px"))
+    y, x = (rows.where(F.col("ticker") == t).select("date", F.col("l").alias(c)) for t, c in zip(ANALYSED, "yx", strict=True))
+    return y.join(x, "date").withColumn("pair", F.lit("~".join(ANALYSED)))
+
+
+def _spread(spark, sf) -> DataFrame:
+    legs = _legs(spark, sf)
+    fit = signals.ols(legs, ["pair"])
+    return legs.join(F.broadcast(fit), "pair").withColumn("spread", F.col("y") - F.col("alpha") - F.col("beta") * F.col("x"))
+
+
+@query(_SPREAD + " SELECT n, ROUND(beta, 7) AS beta, ROUND(alpha, 6) AS alpha FROM co")
+def ols_hedge(spark, sf):
+    return signals.ols(_legs(spark, sf), ["pair"]).select("n", r("beta", 7), r("alpha", 6))
+
+
+@query(_SPREAD + ", l AS (SELECT spread - LAG(spread) OVER (ORDER BY date) AS d, LAG(spread) OVER (ORDER BY date) AS s FROM s), f AS (SELECT REGR_SLOPE(d, s) AS lam FROM l) SELECT ROUND(CASE WHEN lam >= 0 THEN 'inf'::DOUBLE ELSE -LN(2) / lam END, 5) AS half_life FROM f")
+def half_life(spark, sf):
+    return signals.half_lives(_spread(spark, sf), ["pair"], "date", "spread").select(r("half_life", 5))
+
+
+@query(_PAIRS + """, c AS (SELECT x, y, COUNT(*) AS n, CORR(rx, ry) AS correlation, REGR_SLOPE(ly, lx) AS beta, REGR_INTERCEPT(ly, lx) AS alpha FROM j GROUP BY x, y),
+  k AS (SELECT * FROM c WHERE n >= 60 AND ABS(correlation) >= 0.05),
+  s AS (SELECT k.x, k.y, a.day_no, b.lpx - k.alpha - k.beta * a.lpx AS s FROM k JOIN ret a ON a.ticker = k.x JOIN ret b ON b.ticker = k.y AND b.date = a.date),
+  l AS (SELECT x, y, s - LAG(s) OVER (PARTITION BY x, y ORDER BY day_no) AS d, LAG(s) OVER (PARTITION BY x, y ORDER BY day_no) AS s FROM s),
+  f AS (SELECT x, y, REGR_SLOPE(d, s) AS lam FROM l GROUP BY x, y)
+  SELECT k.x, k.y, k.n AS overlap, ROUND(k.correlation, 6) AS correlation, ROUND(k.beta, 6) AS beta, ROUND(-LN(2) / f.lam, 4) AS half_life FROM k JOIN f ON f.x = k.x AND f.y = k.y WHERE f.lam < 0""")
+def pair_screen(spark, sf):
+    """Correlation, hedge ratio and half-life of every pair of tickers: the relational part of discovery."""
+    from barspan.tables import kept
+
+    rows = kept(panel.log_returns(panel.price_panel(fixture.derived_bars(spark, sf))), "returns")
+    stats = discovery.pair_statistics(rows).where((F.col("overlap") >= discovery.MIN_OVERLAP) & (F.abs("correlation") >= 0.05))
+    x, y = (rows.select("date", F.col("ticker").alias(c), F.col("lpx").alias(f"l{c}")) for c in "xy")
+    spread = stats.join(x, "x").join(y, ["y", "date"]).withColumn("spread", F.col("ly") - F.col("alpha") - F.col("beta") * F.col("lx"))
+    speeds = signals.half_lives(spread, ["x", "y"], "date", "spread")
+    return stats.join(speeds, ["x", "y"]).where(F.col("half_life") < float("inf")).select("x", "y", "overlap", r("correlation", 6), r("beta", 6), r("half_life", 4)).orderBy(F.desc(F.abs("correlation")), "x", "y")
+
+
+_ROLLED = _SPREAD + """, z AS (SELECT date, CASE WHEN COUNT(spread) OVER v = 20 THEN (spread - AVG(spread) OVER v) / NULLIF(STDDEV_POP(spread) OVER v, 0) END AS z FROM s WINDOW v AS (ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW))"""
+
+
+@query(_ROLLED + " SELECT date, ROUND(z, 6) AS z FROM z")
+def rolling_zscore(spark, sf):
+    return signals.rolling_zscore(_spread(spark, sf), 20, ["pair"]).select("date", r("z", 6))
+
+
+@query(_ROLLED + """, q AS (SELECT date, ROUND(z, 6) AS z, ROW_NUMBER() OVER (ORDER BY date) AS n FROM z),
+  st(n, date, z, state) AS (SELECT n, date, z, CASE WHEN z <= -1 THEN 1 WHEN z >= 1 THEN -1 ELSE 0 END FROM q WHERE n = 1
+   UNION ALL SELECT q.n, q.date, q.z, CASE WHEN q.z IS NULL THEN st.state WHEN st.state = 0 THEN CASE WHEN q.z <= -1 THEN 1 WHEN q.z >= 1 THEN -1 ELSE 0 END WHEN st.state * q.z >= -0.25 OR st.state * q.z <= -2 THEN 0 ELSE st.state END FROM st JOIN q ON q.n = st.n + 1)
+  SELECT date, z, CAST(state AS BIGINT) AS state FROM st""")
+def positions(spark, sf):
+    rows = signals.rolling_zscore(_spread(spark, sf), 20, ["pair"]).select("pair", "date", r("z", 6))
+    return signals.position_scan(rows, ["pair"], params=signals.SignalParams(**TRADE)).select("date", "z", "state")
+
+
+_KALMAN = _SPREAD + """, q AS (SELECT date, ly AS y, lx AS x, ROW_NUMBER() OVER (ORDER BY date) AS n FROM s),
+  kf(n, date, b, a, p00, p01, p10, p11, e, sd) AS (
+    SELECT CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP), 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE
+    UNION ALL SELECT n, date, b + g0 * e, a + g1 * e, c00 - g0 * (x * c00 + p10), p01 - g0 * (x * p01 + c11), p10 - g1 * (x * c00 + p10), c11 - g1 * (x * p01 + c11), e, sd FROM (
+      SELECT q.n, q.date, q.x, kf.b, kf.a, kf.p01, kf.p10, kf.p00 + 1e-4 / 0.9999 AS c00, kf.p11 + 1e-4 / 0.9999 AS c11, q.y - (q.x * kf.b + kf.a) AS e,
+        (q.x * (kf.p00 + 1e-4 / 0.9999) + kf.p10) * q.x + (q.x * kf.p01 + kf.p11 + 1e-4 / 0.9999) + 1e-3 AS ss,
+        SQRT((q.x * (kf.p00 + 1e-4 / 0.9999) + kf.p10) * q.x + (q.x * kf.p01 + kf.p11 + 1e-4 / 0.9999) + 1e-3) AS sd,
+        ((kf.p00 + 1e-4 / 0.9999) * q.x + kf.p01) / ((q.x * (kf.p00 + 1e-4 / 0.9999) + kf.p10) * q.x + (q.x * kf.p01 + kf.p11 + 1e-4 / 0.9999) + 1e-3) AS g0,
+        (kf.p10 * q.x + kf.p11 + 1e-4 / 0.9999) / ((q.x * (kf.p00 + 1e-4 / 0.9999) + kf.p10) * q.x + (q.x * kf.p01 + kf.p11 + 1e-4 / 0.9999) + 1e-3) AS g1
+      FROM kf JOIN q ON q.n = kf.n + 1) step)
+  SELECT date, ROUND(b, 6) AS beta, ROUND(a, 5) AS alpha, ROUND(e, 6) AS spread, ROUND(sd, 6) AS innovation_std FROM kf WHERE n > 0"""
+
+
+@query(_KALMAN)
+def kalman_hedge(spark, sf):
+    rows = signals.kalman_scan(_legs(spark, sf), ["pair"])
+    return rows.select("date", r("beta", 6), r("alpha", 5), r("spread", 6), r("innovation_std", 6))
+
+
+@query(_KALMAN)
+def kalman_hedge_native(spark, sf):
+    """The same scan as one Catalyst fold."""
+    rows = signals.kalman_native(_legs(spark, sf), ["pair"])
+    return rows.select("date", r("beta", 6), r("alpha", 5), r("spread", 6), r("innovation_std", 6))
+
+
+@query()
+def engle_granger(spark, sf):
+    """Statistic and p value of the pairs that correlate."""
+    prices = panel.price_panel(fixture.derived_bars(spark, sf))
+    return discovery.discover(prices, min_correlation=0.05, max_pvalue=1.0, min_half_life=0.0, max_half_life=1e9).select("y", "x", r("stat", 6), r("pvalue", 6))
+
+
+@query()
+def johansen(spark, sf):
+    return discovery.johansen_test(panel.price_panel(fixture.derived_bars(spark, sf)), ["AF", "AO"])
+
+
+@query()
+def discover_pairs(spark, sf):
+    found = discovery.discover(panel.price_panel(fixture.derived_bars(spark, sf)), min_correlation=0.3)
+    return found.select("y", "x", r("beta", 6), r("correlation", 6), r("pvalue", 8), r("half_life", 5)).orderBy("pvalue", "x", "y")
+
+
+# Backtests.
+
+_COST = "GREATEST(1.0, 0.005 * ABS({q})) + 2e-4 * {p} * ABS({q}) + COALESCE(CASE WHEN {v} > 0 AND {a} > 0 THEN 0.1 * {v} * SQRT(ABS({q}) / {a}) * {p} * ABS({q}) END, 0)"
+_FEATURES = """, x AS (SELECT date, ticker, adj_close, volume, open * adj_close / close AS adj_open, LN(adj_close) - LAG(LN(adj_close)) OVER (PARTITION BY ticker ORDER BY date) AS rr FROM bars),
+ft AS (SELECT date, ticker, adj_close, adj_open, AVG(volume) OVER w20 AS adv, CASE WHEN COUNT(rr) OVER w20 >= 2 THEN STDDEV_POP(rr) OVER w20 END AS vol
+  FROM x WINDOW w20 AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+clock AS (SELECT date, ROW_NUMBER() OVER (ORDER BY date) AS day_no FROM (SELECT DISTINCT date FROM bars) d)"""
+
+
+@query(_FEATURES + f" SELECT date, ticker, ROUND({_COST.format(q='1000', p='adj_open', v='vol', a='adv')}, 6) AS cost FROM ft")
+def transaction_cost(spark, sf):
+    """What a thousand shares cost at each day's open."""
+    cost = backtest.CostModel().column(F.lit(1000.0), F.col("adj_open"), F.col("vol"), F.col("adv"))
+    return fixture.universe(spark, sf).features().select("date", "ticker", F.round(cost, 6).alias("cost"))
+
+
+_HELD = ["AF", "NF", "RF"]
+_BUY = _FEATURES + f""", o AS (SELECT date AS d0 FROM (SELECT date, COUNT(*) AS n FROM (SELECT c.date, t.ticker FROM clock c JOIN (SELECT ticker, MIN(date) AS a, MAX(date) AS b FROM bars WHERE ticker IN ('AF', 'NF', 'RF') GROUP BY ticker) t ON c.date BETWEEN t.a AND t.b) e GROUP BY date) g WHERE n = 3 ORDER BY date LIMIT 1),
+pr AS (SELECT b.ticker, ARG_MAX(b.adj_close, b.date) AS p FROM bars b, o WHERE b.date <= o.d0 AND b.ticker IN ('AF', 'NF', 'RF') GROUP BY b.ticker),
+fl AS (SELECT ft.date, c.day_no, ft.ticker, 100000.0 / pr.p AS quantity, ft.adj_open AS price, {_COST.format(q='(100000.0 / pr.p)', p='ft.adj_open', v='ft.vol', a='ft.adv')} AS cost
+  FROM o JOIN clock c0 ON c0.date = o.d0 JOIN clock c ON c.day_no = c0.day_no + 1 JOIN ft ON ft.date = c.date JOIN pr ON pr.ticker = ft.ticker)"""
+_BUY_EQUITY = _BUY + """, eq AS (SELECT c.date, 1000000.0 - COALESCE(SUM(f.quantity * f.price), 0) + COALESCE(SUM(f.quantity * b.adj_close), 0) - COALESCE(SUM(f.cost), 0) AS equity
+  FROM clock c LEFT JOIN fl f ON f.day_no <= c.day_no LEFT JOIN bars b ON b.date = c.date AND b.ticker = f.ticker GROUP BY c.date)"""
+
+
+def _held(spark, sf) -> backtest.BacktestResult:
+    return backtest.run_buy_and_hold(fixture.universe(spark, sf), _HELD, 300_000.0)
+
+
+@query(_BUY + " SELECT date, ticker, ROUND(quantity, 6) AS quantity, ROUND(price, 6) AS price, ROUND(cost, 6) AS cost FROM fl")
+def buy_and_hold_fills(spark, sf):
+    return _held(spark, sf).fills.select("date", "ticker", r("quantity", 6), r("price", 6), r("cost", 6))
+
+
+@query(_BUY_EQUITY + " SELECT date, ROUND(equity, 4) AS equity FROM eq")
+def buy_and_hold_equity(spark, sf):
+    return _held(spark, sf).equity.select("date", r("equity", 4))
+
+
+_RETS = _BUY_EQUITY + ", rt AS (SELECT date, equity, equity / LAG(equity) OVER (ORDER BY date) - 1 AS ret FROM eq)"
+
+
+@query(_RETS + " SELECT date, ROUND(ret, 8) AS ret FROM rt WHERE ret IS NOT NULL")
+def equity_returns(spark, sf):
+    return _held(spark, sf).returns().select("date", r("ret"))
+
+
+@query(_RETS + " SELECT ROUND(SQRT(252) * AVG(ret) / STDDEV_SAMP(ret), 6) AS sharpe FROM rt")
+def sharpe(spark, sf):
+    return backtest.sharpe(_held(spark, sf).returns()).select(r("sharpe", 6))
+
+
+@query(_BUY_EQUITY + " SELECT date, ROUND(equity / MAX(equity) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1, 8) AS drawdown FROM eq")
+def drawdown(spark, sf):
+    return backtest.drawdowns(_held(spark, sf).equity).select("date", r("drawdown"))
+
+
+@query(_RETS + """, dd AS (SELECT MIN(equity / m - 1) AS d FROM (SELECT equity, MAX(equity) OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM eq) e)
+  SELECT ROUND(ARG_MAX(equity, date) / ARG_MIN(equity, date) - 1, 8) AS total_return, ROUND(SQRT(252) * AVG(ret) / STDDEV_SAMP(ret), 6) AS sharpe, (SELECT ROUND(d, 8) FROM dd) AS max_drawdown, ROUND(STDDEV_SAMP(ret) * SQRT(252), 8) AS volatility,
+    ROUND(AVG(CASE WHEN ret > 0 THEN 1.0 WHEN ret IS NOT NULL THEN 0.0 END), 8) AS win_rate, (SELECT ROUND(SUM(cost), 6) FROM fl) AS total_costs, (SELECT COUNT(*) FROM fl) AS n_fills, COUNT(*) AS n_days FROM rt""")
+def tearsheet_stats(spark, sf):
+    s = _held(spark, sf).stats()
+    return s.select(r("total_return"), r("sharpe", 6), r("max_drawdown"), r("volatility"), r("win_rate"), r("total_costs", 6), "n_fills", "n_days")
+
+
+@query(_RETS + ", m AS (SELECT COUNT(ret) AS n, AVG(ret) AS mu FROM rt), c AS (SELECT AVG((ret - mu) ** 2) AS m2, AVG((ret - mu) ** 3) AS m3, AVG((ret - mu) ** 4) AS m4 FROM rt, m WHERE ret IS NOT NULL) SELECT n, ROUND(m3 / m2 ** 1.5, 5) AS skew, ROUND(m4 / m2 ** 2, 4) AS kurtosis FROM m, c")
+def moments(spark, sf):
+    return _held(spark, sf).returns().agg(F.count("ret").alias("n"), F.round(F.skewness("ret"), 5).alias("skew"), F.round(F.kurtosis("ret") + 3, 4).alias("kurtosis"))
+
+
+def _pair_runs(spark):
+    return spark.createDataFrame([(0, "AO", "AF", *TRADE.values()), (1, "RO", "RF", *TRADE.values())], "run int, y string, x string, entry double, exit double, stop double")
+
+
+@query()
+def pairs_fills(spark, sf):
+    found = backtest.run_pairs(fixture.universe(spark, sf), _pair_runs(spark)).fills
+    return found.select("run", "date", "ticker", r("quantity", 6), r("price", 6), r("cost", 6), "seq")
+
+
+@query()
+def pairs_equity(spark, sf):
+    return backtest.run_pairs(fixture.universe(spark, sf), _pair_runs(spark)).equity.select("run", "date", r("equity", 4))
+
+
+@query()
+def pairs_loop(spark, sf):
+    """The first pair day by day: the same fills as the plan's."""
+    strategy = backtest.PairsStrategy("AO", "AF", 200_000.0, params=signals.SignalParams(**TRADE))
+    done = backtest.LoopEngine(fixture.universe(spark, sf), strategy, backtest.Portfolio(1_000_000.0)).run()
+    return done.frames(spark).fills.select("date", "ticker", r("quantity", 6), r("price", 6), r("cost", 6))
+
+
+@query(""", n AS (SELECT date, ROW_NUMBER() OVER (ORDER BY date) AS n FROM (SELECT DISTINCT date FROM bars) d), c AS (SELECT MAX(n) AS c FROM n)
+  SELECT CAST(k AS INTEGER) AS "window", a.date AS train_start, b.date AS train_end, d.date AS test_start, e.date AS test_end FROM c, range(0, 1000) w(k)
+    JOIN n a ON a.n = k * 125 + 1 JOIN n b ON b.n = k * 125 + 250 JOIN n d ON d.n = k * 125 + 251 JOIN n e ON e.n = k * 125 + 375""")
+def walk_forward_windows(spark, sf):
+    return walkforward.walk_forward_windows(fixture.universe(spark, sf).trading_days(), 250, 125)
+
+
+@query()
+def walk_forward(spark, sf):
+    u = fixture.universe(spark, sf)
+    done = walkforward.run_walk_forward(u, walkforward.walk_forward_windows(u.trading_days(), 500, 250), **TRADE)
+    return done.table().select("window", "test_start", "y", "x", r("total_return"), r("sharpe", 6), "n_fills")
+
+
+@query()
+def sensitivity_grid(spark, sf):
+    cells, _ = walkforward.pair_grid(fixture.universe(spark, sf), "AO", "AF", {"entry": [0.75, 1.0, 1.5], "delta": [1e-6, 1e-5]})
+    return cells.select("run", "entry", "delta", r("metric", 6))
+
+
+@query()
+def deflated_sharpe(spark, sf):
+    """The best cell of a grid of per-period ratios, held against luck."""
+    cells, result = walkforward.pair_grid(fixture.universe(spark, sf), "AO", "AF", {"entry": [0.75, 1.0, 1.5], "delta": [1e-6, 1e-5]})
+    rows = cells.collect()
+    best = max(rows, key=lambda c: c.metric)
+    returns = [x.ret for x in result.returns().where(F.col("run") == best.run).orderBy("date").collect()]
+    found = distributions.deflated_sharpe_ratio([c.metric / distributions.DAYS**0.5 for c in rows], returns)
+    return spark.createDataFrame([(found.dsr, found.sr_0, found.best_sharpe, found.n_trials)], "dsr double, sr_0 double, best_sharpe double, n_trials int")
+
+
+@query()
+def synthetic_bars(spark, sf):
+    """Seeded bars through Spark's data source interface."""
+    from barspan.sources.bar_sources import SyntheticBars
+
+    spark.dataSource.register(SyntheticBars)
+    return spark.read.format("synthetic_bars").option("n", 250).option("seed", 42).load()
