@@ -1,6 +1,6 @@
 """Token ids kept as wavelet matrices: one compressed file per shard that answers access, rank and select.
 
-A file holds a run of documents in doc_id order. Its ids stand in bit-planes from the highest bit
+A file holds a run of documents in doc_id order. Its ids, numbered within the file's own alphabet, stand in bit-planes from the highest bit
 down; each plane is the ids' bits after a stable partition by the bits above, with counts of ones per
 block. Planes are compressed one by one, so a reader takes only what it needs.
 
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from barspan.llm import common, tok
 
-MAGIC = b"BSWM0001"
+MAGIC = b"BSWM0002"
 #: Bits between stored counts of ones.
 BLOCK = 512
 #: Ids after which a shard's file is closed; a longer document makes a longer file.
@@ -38,8 +38,12 @@ def _packed(raw: bytes) -> bytes:
 
 def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> bytes:
     """One file from the ids of whole documents in a row."""
-    bits = max(1, int(ids.max(initial=0)).bit_length())
-    now = ids.astype(np.uint16 if bits <= 16 else np.uint32)
+    # Ids that do not occur take no bits: the file's alphabet is the ids that do, ascending.
+    alphabet = np.flatnonzero(np.bincount(ids)) if len(ids) else np.zeros(0, np.int64)
+    bits = max(1, (len(alphabet) - 1).bit_length())
+    number = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.uint16 if bits <= 16 else np.uint32)
+    number[alphabet] = np.arange(len(alphabet))
+    now = number[ids]
     parts, zeros = [], []
     for level in range(bits - 1, -1, -1):
         one = (now & now.dtype.type(1 << level)) != 0
@@ -48,12 +52,12 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
         padded.view(np.uint8)[: len(packed)] = packed
         counts = np.cumsum(np.bitwise_count(padded).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32), dtype="<u4")
         parts += [_packed(padded.tobytes()), _packed(counts.tobytes())]
-        low = now[~one]
+        low = np.compress(~one, now)
         zeros.append(len(low))
-        now = np.concatenate((low, now[one]))
+        now = np.concatenate((low, np.compress(one, now)))
     known = np.array([d is not None for d in doc_ids], np.uint8)
     docs = np.array([d or 0 for d in doc_ids], "<i8")
-    parts += [_packed(np.packbits(known).tobytes()), _packed(np.diff(docs, prepend=0).tobytes()), _packed(np.asarray(lengths, "<u4").tobytes())]
+    parts += [_packed(np.packbits(known).tobytes()), _packed(np.diff(docs, prepend=0).tobytes()), _packed(np.asarray(lengths, "<u4").tobytes()), _packed(np.diff(alphabet, prepend=0).astype("<u4").tobytes())]
     head = struct.pack("<8sQQB", MAGIC, len(ids), len(docs), bits) + np.array([*zeros, *map(len, parts)], "<u8").tobytes()
     return b"".join([head, *parts])
 
@@ -66,12 +70,18 @@ class WaveletShard:
         if magic != MAGIC:
             raise ValueError("not a wavelet file")
         at = struct.calcsize("<8sQQB")
-        table = np.frombuffer(file, "<u8", self.bits + 2 * self.bits + 3, at)
+        table = np.frombuffer(file, "<u8", self.bits + 2 * self.bits + 4, at)
         self.zeros = [int(z) for z in table[: self.bits]]
         ends = at + table.nbytes + np.cumsum(table[self.bits :], dtype=np.int64)
         starts = ends - table[self.bits :].astype(np.int64)
         self._part = lambda k: zstandard.ZstdDecompressor().decompress(file[starts[k] : ends[k]])
         self._planes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.alphabet = np.cumsum(np.frombuffer(self._part(2 * self.bits + 3), "<u4"), dtype=np.int64)
+
+    def _number(self, token: int) -> int | None:
+        """The token's number in the alphabet, if it occurs."""
+        k = int(np.searchsorted(self.alphabet, token))
+        return k if k < len(self.alphabet) and self.alphabet[k] == token else None
 
     def _plane(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Words of the plane, and ones before each block."""
@@ -103,10 +113,10 @@ class WaveletShard:
             bit = int(words[at // 64]) >> at % 64 & 1
             value = value << 1 | bit
             at = self.zeros[level] + self._rank1(level, at) if bit else at - self._rank1(level, at)
-        return value
+        return int(self.alphabet[value])
 
     def _range(self, token: int, end: int) -> tuple[int, int]:
-        """Where the token's occurrences before ``end`` stand after the last plane."""
+        """Where the numbered token's occurrences before ``end`` stand after the last plane."""
         lo, hi = 0, end
         for level in range(self.bits):
             if token >> (self.bits - 1 - level) & 1:
@@ -117,9 +127,9 @@ class WaveletShard:
 
     def rank(self, token: int, end: int) -> int:
         """Occurrences before a place."""
-        if token < 0 or token >> self.bits:
+        if (number := self._number(token)) is None:
             return 0
-        lo, hi = self._range(token, min(max(end, 0), self.n))
+        lo, hi = self._range(number, min(max(end, 0), self.n))
         return hi - lo
 
     def count(self, token: int) -> int:
@@ -129,6 +139,7 @@ class WaveletShard:
         """Place of the token's k-th occurrence, from 0."""
         if not 0 <= k < self.count(token):
             raise IndexError(k)
+        token = self._number(token)
         at = self._range(token, self.n)[0] + k
         for level in range(self.bits - 1, -1, -1):
             bit = token >> (self.bits - 1 - level) & 1
@@ -145,10 +156,10 @@ class WaveletShard:
         for level in range(self.bits - 1, -1, -1):
             one = np.unpackbits(self._plane(level)[0].view(np.uint8), count=self.n, bitorder="little").view(bool)
             above = np.empty_like(now)
-            above[~one] = now[: self.zeros[level]]
-            above[one] = now[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
+            above[np.flatnonzero(~one)] = now[: self.zeros[level]]
+            above[np.flatnonzero(one)] = now[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
             now = above
-        return now.astype("<u4")
+        return self.alphabet.astype("<u4")[now] if self.n else now.astype("<u4")
 
     def documents(self) -> tuple[list[int | None], np.ndarray]:
         """doc_ids and numbers of ids."""
@@ -175,7 +186,7 @@ def write_shards(docs: DataFrame, path: str | None = None, shard_ids: int = SHAR
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], ["shard", "n_docs", "n_ids", "file"])
 
         for batch in batches:
-            for a, m in tok.in_parts(batch["text"]):
+            for a, m in tok.in_parts(batch["text"], min(shard_ids, 4_000_000)):
                 counts, ids = tok.with_end(*encode(batch["text"].slice(a, m)))
                 held.append((ids, batch["doc_id"].slice(a, m).to_pylist(), counts))
                 n += len(ids)
