@@ -358,19 +358,61 @@ def moments(spark, sf):
     return _held(spark, sf).returns().agg(F.count("ret").alias("n"), F.round(F.skewness("ret"), 5).alias("skew"), F.round(F.kurtosis("ret") + 3, 4).alias("kurtosis"))
 
 
+PAIRS = (("AO", "AF"), ("RO", "RF"))
+GRID = {"entry": (0.75, 1.0, 1.5), "delta": (1e-6, 1e-5)}
+
+
+def _pair_sql(runs: list[tuple]) -> str:
+    """fl (fills) and eq (equity) of runs (run, y, x, entry, exit, stop, delta): the filter and the machine as one recursion."""
+    values = ", ".join("(" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v!r}::DOUBLE" if isinstance(v, float) else str(v) for v in r) + ")" for r in runs)
+    # Prior covariances, the surprise and its variance: once each.
+    prior = "kf.p00 + r.d AS c00, kf.p11 + r.d AS c11, q.ly - (q.lx * kf.b + kf.a) AS e"
+    return _FEATURES + f""", r AS (SELECT *, dl / (1 - dl) AS d FROM (VALUES {values}) v(run, ty, tx, en, ex, sp, dl)),
+q AS (SELECT r.run, a.date, LN(a.adj_close) AS ly, LN(b.adj_close) AS lx, ROW_NUMBER() OVER (PARTITION BY r.run ORDER BY a.date) AS n FROM r JOIN bars a ON a.ticker = r.ty JOIN bars b ON b.ticker = r.tx AND b.date = a.date),
+kf(run, n, date, b, a, p00, p01, p10, p11, state) AS (
+  SELECT run, CAST(0 AS BIGINT), CAST(NULL AS TIMESTAMP), 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0.0::DOUBLE, 0.0::DOUBLE, 1.0::DOUBLE, 0 FROM r
+  UNION ALL
+  SELECT run, n, date, b + g0 * e, a + g1 * e, c00 - g0 * (lx * c00 + p10), p01 - g0 * (lx * p01 + c11), p10 - g1 * (lx * c00 + p10), c11 - g1 * (lx * p01 + c11),
+    CASE WHEN state = 0 THEN CASE WHEN z <= -en THEN 1 WHEN z >= en THEN -1 ELSE 0 END WHEN state * z >= -ex OR state * z <= -sp THEN 0 ELSE state END
+  FROM (SELECT *, (c00 * lx + p01) / s AS g0, (p10 * lx + c11) / s AS g1, e / SQRT(s) AS z
+    FROM (SELECT *, (lx * c00 + p10) * lx + (lx * p01 + c11) + 1e-3 AS s
+      FROM (SELECT q.run, q.n, q.date, q.lx, kf.b, kf.a, kf.p01, kf.p10, kf.state, r.en, r.ex, r.sp, {prior} FROM kf JOIN r ON r.run = kf.run JOIN q ON q.run = kf.run AND q.n = kf.n + 1) k0) k1) k2),
+sp AS (SELECT ticker, MIN(date) AS first_date, MAX(date) AS last_date FROM bars GROUP BY ticker),
+dy AS (SELECT r.run, r.ty, r.tx, c.date, c.day_no, LAST_VALUE(k.n IGNORE NULLS) OVER w AS n, LAST_VALUE(k.b IGNORE NULLS) OVER w AS beta, LAST_VALUE(k.state IGNORE NULLS) OVER w AS want,
+    LAST_VALUE(y.adj_close IGNORE NULLS) OVER w AS py, LAST_VALUE(x.adj_close IGNORE NULLS) OVER w AS px
+  FROM r CROSS JOIN clock c LEFT JOIN kf k ON k.run = r.run AND k.date = c.date LEFT JOIN bars y ON y.ticker = r.ty AND y.date = c.date LEFT JOIN bars x ON x.ticker = r.tx AND x.date = c.date
+  WINDOW w AS (PARTITION BY r.run ORDER BY c.date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+el AS (SELECT dy.*, LAG(want, 1, 0) OVER (PARTITION BY run ORDER BY day_no) AS held FROM dy JOIN sp a ON a.ticker = ty AND date BETWEEN a.first_date AND a.last_date JOIN sp b ON b.ticker = tx AND date BETWEEN b.first_date AND b.last_date WHERE n >= 60),
+tn AS (SELECT *, CASE WHEN want <> 0 THEN want * 100000.0 / py END AS qy, CASE WHEN want <> 0 THEN -want * beta * 100000.0 / px END AS qx FROM el WHERE want <> held),
+tl AS (SELECT *, -LAG(qy) OVER (PARTITION BY run ORDER BY day_no) AS cy, -LAG(qx) OVER (PARTITION BY run ORDER BY day_no) AS cx FROM tn),
+o AS (SELECT run, day_no, ty AS ticker, cy AS quantity, 0 AS seq FROM tl UNION ALL SELECT run, day_no, tx, cx, 1 FROM tl UNION ALL SELECT run, day_no, ty, qy, 2 FROM tl UNION ALL SELECT run, day_no, tx, qx, 3 FROM tl),
+fl AS (SELECT o.run, c.date, c.day_no, o.ticker, o.quantity, ft.adj_open AS price, {_COST.format(q='o.quantity', p='ft.adj_open', v='ft.vol', a='ft.adv')} AS cost, o.seq
+  FROM o JOIN clock c ON c.day_no = o.day_no + 1 JOIN ft ON ft.date = c.date AND ft.ticker = o.ticker WHERE o.quantity IS NOT NULL AND o.quantity <> 0),
+ow AS (SELECT t.run, c.date, c.day_no, t.ticker, SUM(f.q) OVER (PARTITION BY t.run, t.ticker ORDER BY c.day_no) AS position
+  FROM (SELECT DISTINCT run, ticker FROM fl) t CROSS JOIN clock c LEFT JOIN (SELECT run, ticker, day_no, SUM(quantity) AS q FROM fl GROUP BY run, ticker, day_no) f ON f.run = t.run AND f.ticker = t.ticker AND f.day_no = c.day_no),
+va AS (SELECT ow.run, ow.day_no, SUM(ow.position * b.adj_close) AS value FROM ow JOIN bars b ON b.date = ow.date AND b.ticker = ow.ticker GROUP BY ow.run, ow.day_no),
+pd AS (SELECT run, day_no, SUM(quantity * price + cost) AS paid FROM fl GROUP BY run, day_no),
+eq AS (SELECT r.run, c.date, 1000000.0 - COALESCE(SUM(pd.paid) OVER (PARTITION BY r.run ORDER BY c.day_no), 0) + COALESCE(va.value, 0) AS equity
+  FROM r CROSS JOIN clock c LEFT JOIN pd ON pd.run = r.run AND pd.day_no = c.day_no LEFT JOIN va ON va.run = r.run AND va.day_no = c.day_no)"""
+
+
+_BOTH = _pair_sql([(n, *pair, *TRADE.values(), 1e-6) for n, pair in enumerate(PAIRS)])
+_CELLS = _pair_sql([(n, "AO", "AF", e, e * 0.25, e * 2.0, d) for n, (e, d) in enumerate((e, d) for e in GRID["entry"] for d in GRID["delta"])])
+
+
 def _pair_runs(spark):
-    return spark.createDataFrame([(0, "AO", "AF", *TRADE.values()), (1, "RO", "RF", *TRADE.values())], "run int, y string, x string, entry double, exit double, stop double")
+    return spark.createDataFrame([(n, *pair, *TRADE.values()) for n, pair in enumerate(PAIRS)], "run int, y string, x string, entry double, exit double, stop double")
 
 
-@query()
+@query(_BOTH + " SELECT run, date, ticker, ROUND(quantity, 5) AS quantity, ROUND(price, 6) AS price, ROUND(cost, 5) AS cost, seq FROM fl")
 def pairs_fills(spark, sf):
     found = backtest.run_pairs(fixture.universe(spark, sf), _pair_runs(spark)).fills
-    return found.select("run", "date", "ticker", r("quantity", 6), r("price", 6), r("cost", 6), "seq")
+    return found.select("run", "date", "ticker", r("quantity", 5), r("price", 6), r("cost", 5), "seq")
 
 
-@query()
+@query(_BOTH + " SELECT run, date, ROUND(equity, 3) AS equity FROM eq")
 def pairs_equity(spark, sf):
-    return backtest.run_pairs(fixture.universe(spark, sf), _pair_runs(spark)).equity.select("run", "date", r("equity", 4))
+    return backtest.run_pairs(fixture.universe(spark, sf), _pair_runs(spark)).equity.select("run", "date", r("equity", 3))
 
 
 @query()
@@ -395,16 +437,16 @@ def walk_forward(spark, sf):
     return done.table().select("window", "test_start", "y", "x", r("total_return"), r("sharpe", 6), "n_fills")
 
 
-@query()
+@query(_CELLS + ", rt AS (SELECT run, equity / LAG(equity) OVER (PARTITION BY run ORDER BY date) - 1 AS ret FROM eq) SELECT r.run, r.en AS entry, r.dl AS delta, ROUND(COALESCE(SQRT(252) * AVG(ret) / NULLIF(STDDEV_SAMP(ret), 0), 0), 5) AS metric FROM rt JOIN r ON r.run = rt.run GROUP BY r.run, r.en, r.dl")
 def sensitivity_grid(spark, sf):
-    cells, _ = walkforward.pair_grid(fixture.universe(spark, sf), "AO", "AF", {"entry": [0.75, 1.0, 1.5], "delta": [1e-6, 1e-5]})
-    return cells.select("run", "entry", "delta", r("metric", 6))
+    cells, _ = walkforward.pair_grid(fixture.universe(spark, sf), "AO", "AF", GRID)
+    return cells.select("run", "entry", "delta", r("metric", 5))
 
 
 @query()
 def deflated_sharpe(spark, sf):
     """The best cell of a grid of per-period ratios, held against luck."""
-    cells, result = walkforward.pair_grid(fixture.universe(spark, sf), "AO", "AF", {"entry": [0.75, 1.0, 1.5], "delta": [1e-6, 1e-5]})
+    cells, result = walkforward.pair_grid(fixture.universe(spark, sf), "AO", "AF", GRID)
     rows = cells.collect()
     best = max(rows, key=lambda c: c.metric)
     returns = [x.ret for x in result.returns().where(F.col("run") == best.run).orderBy("date").collect()]
