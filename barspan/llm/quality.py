@@ -29,8 +29,8 @@ from pyspark.sql import types as T
 from barspan.llm import common, shingles, tok
 
 BUCKETS = 1 << 18
-MAX_ROWS = 6000
-MAX_ENTRIES = 8_000_000
+MAX_ROWS = 4000
+MAX_ENTRIES = 3_000_000
 #: Rejected below this score.
 ACCEPT = 0.3
 
@@ -96,9 +96,13 @@ class Model:
     shift: float = 0.0
 
     def margins(self, bounds: np.ndarray, found: np.ndarray) -> np.ndarray:
-        sums = [np.concatenate(([0.0], np.cumsum(x[found]))) for x in (self.weights * self.scale, self.scale**2)]
-        up, square = (s[bounds[1:]] - s[bounds[:-1]] for s in sums)
-        return up / np.sqrt(np.where(square > 0, square, 1)) + self.bias
+        out = np.full(len(bounds) - 1, self.bias)
+        full = np.flatnonzero(np.diff(bounds))
+        if len(full):
+            # Sums over a text's own entries, so that its score does not depend on its neighbours.
+            up, square = (np.add.reduceat(x[found], bounds[:-1][full]) for x in (self.weights * self.scale, self.scale**2))
+            out[full] += up / np.sqrt(np.where(square > 0, square, 1))
+        return out
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(*features(texts)) + self.shift, -30, 30)))
@@ -107,15 +111,14 @@ class Model:
 def _dual_descent(rows: list[np.ndarray], scale: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 15, seed: int = 7) -> tuple[np.ndarray, float]:
     """L2-regularised hinge loss: one dual variable at a time in random order, each held to [0, cost]; rows have unit length."""
     w, b, alpha = np.zeros(len(scale)), 0.0, np.zeros(len(rows))
-    values = [scale[r] for r in rows]
-    norms = [float(np.sqrt(v @ v)) or 1.0 for v in values]
-    values = [v / n for v, n in zip(values, norms, strict=True)]
-    square = [float(v @ v) + 1.0 for v in values]
+    norms = [float(np.sqrt((scale[r] ** 2).sum())) for r in rows]
+    square = [2.0 if n else 1.0 for n in norms]
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
         for i in rng.permutation(len(rows)):
-            r, v = rows[i], values[i]
+            r = rows[i]
+            v = scale[r] / (norms[i] or 1.0)
             slope = y[i] * (float(w[r] @ v) + b) - 1
             new = min(max(alpha[i] - slope / square[i], 0.0), cost[i])
             if new != alpha[i]:
@@ -144,7 +147,7 @@ def _logistic(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
 
 
 def _joined(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    return np.concatenate(([0], np.cumsum([len(r) for r in rows]))), np.concatenate([*rows, np.zeros(0, np.int64)])
+    return np.concatenate(([0], np.cumsum([len(r) for r in rows]))), np.concatenate([*rows, np.zeros(0, np.int32)])
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, held: np.ndarray, cost: float = 1.0, smooth: float = 1.0) -> Model:
@@ -196,7 +199,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", max_rows:
     kept = rows.join(F.broadcast(within), "doc_id").collect()  # at most max_rows rows and about max_entries entries of 4 bytes
     kept.sort(key=lambda r: r.doc_id)
     common.drop_written(rows)
-    grams = [np.frombuffer(r.grams, "<i4").astype(np.int64) for r in kept]
+    grams = [np.frombuffer(r.grams, "<i4") for r in kept]
     held = np.array([zlib.crc32(f"curve {r.doc_id}".encode()) % 4 == 0 for r in kept], bool)
     return fit(grams, np.array([r.label for r in kept], np.int64), held)
 
