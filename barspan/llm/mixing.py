@@ -84,16 +84,15 @@ def emit(docs: DataFrame, **settings) -> DataFrame:
 
     Equal rows (same doc_id, source and text) share what they are taken together, as evenly as it goes.
     """
-    columns = docs.columns
-    drawn = mix(docs, **settings).groupBy("doc_id", "source", "h").agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    drawn = drawn.where("_copies > 0").select(F.col("doc_id").alias("_doc"), F.col("source").alias("_source"), F.col("h").alias("_h"), "_copies", "_rows")
-    held = docs.withColumn("_hash", F.xxhash64("text", "doc_id"))
-    joined = held.join(drawn, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_hash") == F.col("_h")))
+    drawn = mix(docs, **settings).groupBy("doc_id", "source", "h").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
+    held = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("all"), F.xxhash64("text", "doc_id").alias("hash"))
+    same = F.col("all.doc_id").eqNullSafe(F.col("doc_id")) & F.col("all.source").eqNullSafe(F.col("source")) & (F.col("hash") == F.col("h"))
+    joined = held.join(drawn, same)
     # Of r equal rows taken n times together, the k-th is emitted as often as there are whole numbers in its share.
-    several = joined.where("_rows > 1").withColumn("_k", F.row_number().over(Window.partitionBy("_doc", "_source", "_h").orderBy("_h")))
-    alone = joined.where("_rows = 1").withColumn("_k", F.lit(1))
-    share = F.floor(F.col("_k") * F.col("_copies") / F.col("_rows")) - F.floor((F.col("_k") - 1) * F.col("_copies") / F.col("_rows"))
-    return alone.unionByName(several).withColumn("_times", share.cast("int")).withColumn("_time", F.explode(F.array_repeat(F.lit(1), F.col("_times")))).select(*columns)
+    several = joined.where("rows > 1").withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "source", "h").orderBy("h")))
+    alone = joined.where("rows = 1").withColumn("k", F.lit(1))
+    share = F.floor(F.col("k") * F.col("copies") / F.col("rows")) - F.floor((F.col("k") - 1) * F.col("copies") / F.col("rows"))
+    return alone.unionByName(several).withColumn("time", F.explode(F.array_repeat(F.lit(1), share.cast("int")))).select("all.*")
 
 
 def op5_mix_sources(spark, sf_dir: str) -> DataFrame:

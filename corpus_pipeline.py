@@ -15,7 +15,8 @@ from barspan.llm import common, mixing, near_dups, packing, quality, secret_scan
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on the labelled ones, does not reject."""
     model = quality.train(docs, common.read(spark, sf_dir, "labels"))
-    return quality.scored(docs, model, "_score").where(F.col("_score") >= quality.ACCEPT).drop("_score")
+    score = max(docs.columns, key=len) + "_score"
+    return quality.scored(docs, model, score).where(F.col(score) >= quality.ACCEPT).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
