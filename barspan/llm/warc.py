@@ -5,7 +5,7 @@ any record can be read alone. Payloads of at least ``MIN_REVISIT`` bytes that oc
 the least page_id; the others are revisit records that name it.
 
 Defined cases: a null html is an empty payload; a null url is written as an empty target; repeated rows of one page_id are records
-of their own, and the one that stands first is the response; a null page_id counts as greater than all others and is written as
+of their own, and all of them responses if they are the first of their payload; a null page_id counts as greater than all others and is written as
 an empty record id; an empty table gives no archives. Columns other than page_id, url and html are not read.
 """
 
@@ -102,14 +102,12 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     common.arrow_rows(pages.sparkSession)
     payload = F.coalesce("html", F.lit("")).cast("binary")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("size", F.length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    # Only digests are grouped; the payloads stay where they are until the join, whose hot digests Spark can split.
-    order = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "row")
-    known = common.written(rows.select("page_id", "row", "size", "digest"), "digests")
-    firsts = known.where(F.col("size") >= MIN_REVISIT).groupBy("digest").agg(F.min(order).alias("first"), F.count("*").alias("n")).where("n > 1")
-    revisits = known.join(firsts, "digest").where("row <> first.row").select("row", F.col("first.page_id").alias("refers_to"), F.lit(True).alias("revisit"))
-    placed = rows.join(common.written(revisits, "revisits"), "row", "left")
-    placed = placed.select("page_id", "url", "size", "digest", "refers_to", F.when(F.col("revisit"), F.lit(None)).otherwise(F.col("payload")).alias("payload"))
+    # Only digests are grouped. Payloads are dealt by page and digest, so a payload that very many pages share meets nowhere.
+    known = rows.where(F.col("size") >= MIN_REVISIT).select("page_id", "digest").distinct()
+    firsts = known.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    revisits = known.join(firsts, "digest").where(~F.col("page_id").eqNullSafe(F.col("first.page_id"))).select(F.col("page_id").alias("again"), F.col("digest").alias("same"), F.col("first.page_id").alias("refers_to"))
+    placed = rows.join(common.written(revisits, "revisits"), F.col("page_id").eqNullSafe(F.col("again")) & (F.col("digest") == F.col("same")), "left")
+    placed = placed.select("page_id", "url", "size", "digest", "refers_to", F.when(F.col("same").isNull(), F.col("payload")).alias("payload"))
 
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, k = [], 0, 0
