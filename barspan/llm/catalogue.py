@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from barspan.llm import bit_search, embed_dups, license_scan, mixing, near_dups, packing, quality, secret_scan, token_files, warc
 
-QUERIES = {f.__name__: f for f in (
+QUERIES = {
+    f.__name__: f
+    for f in (
         quality.op1_quality,
         license_scan.op2_license_scan,
         embed_dups.op3_vector_dups,
@@ -15,5 +17,11 @@ QUERIES = {f.__name__: f for f in (
         near_dups.op8_near_duplicates,
         packing.op9_pack_sequences,
         warc.op10_warc,
-    )}
-ORACLE_SQL: dict[str, str] = {"op10_warc": warc.OP10_SQL}
+    )
+}
+ORACLE_SQL: dict[str, str] = {
+    "op2_license_scan": license_scan.oracle_sql(),
+    "op3_vector_dups": embed_dups.OP3_SQL,
+    "op8_near_duplicates": near_dups.OP8_SQL,
+    "op10_warc": warc.OP10_SQL,
+}

@@ -235,3 +235,18 @@ def _links(classes: DataFrame, count: int, dimension: int, threshold: float) ->
 
 def op3_vector_dups(spark, sf_dir: str) -> DataFrame:
     return link_vectors(common.read(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(a, b) AS (
+  SELECT DISTINCT vec_id, vec_id FROM embeddings WHERE vec_id IS NOT NULL
+  UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+c AS (SELECT a AS vec_id, MIN(b) AS component_id FROM reach GROUP BY a)
+SELECT c.vec_id, (SELECT COUNT(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, c.vec_id = component_id AS kept FROM c
+"""
