@@ -30,19 +30,40 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
+#: Folders of the written tables of this session, oldest first.
+_FOLDERS: list[str] = []
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows as a table in the shared folder, read again: lineage ends here and no executor's loss can undo it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    _FOLDERS.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a ``written`` table that nothing reads any more."""
-    spark = df.sparkSession
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(f)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
+        _delete(df.sparkSession, folder)
+
+
+def written_alone(df: DataFrame, name: str, since: int) -> DataFrame:
+    """``written``, and then all tables written after the first ``since`` of this session go: those that only led to this one."""
+    out = written(df, name)
+    for folder in _FOLDERS[since:-1]:
+        _delete(df.sparkSession, folder)
+    del _FOLDERS[since:-1]
+    return out
+
+
+def tables_written() -> int:
+    return len(_FOLDERS)
 
 
 def arrow_rows(spark: SparkSession) -> None:

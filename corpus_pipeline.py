@@ -53,7 +53,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents")
+    """The last stage's rows. What a stage wrote on its way, and the stage before it, is deleted once the stage itself is written."""
+    docs, before = common.read(spark, sf_dir, "documents"), common.tables_written()
     for name, stage in STAGES:
-        docs = common.written(stage(spark, docs, sf_dir), f"stage-{name}")
+        docs = common.written_alone(stage(spark, docs, sf_dir), f"stage-{name}", before)
     return docs
