@@ -30,6 +30,16 @@ def adjusted_open(bars: DataFrame) -> DataFrame:
     return rows.groupBy("date", "ticker").agg(F.max_by("v", ROW).alias("adj_open"))
 
 
+def bar_panel(bars: DataFrame, price_field: str = "adj_close") -> DataFrame:
+    """date, ticker, px, volume, adj_open in one aggregate: the three panels side by side, null where one has no value."""
+    if price_field not in schema.VALUE_COLUMNS:
+        raise schema.SchemaError(f"unknown field: {price_field}")
+    fields = {"px": F.col(price_field), "volume": F.col("volume"), "adj_open": F.col("open") * F.try_divide("adj_close", "close")}
+    rows = with_row_order(bars).where("ticker is not null and date is not null").select("date", "ticker", ROW, *map(schema.number, schema.VALUE_COLUMNS))
+    rows = rows.select("date", "ticker", ROW, *(c.alias(n) for n, c in fields.items()))
+    return rows.groupBy("date", "ticker").agg(*(F.max_by(n, F.when(F.col(n).isNotNull(), F.col(ROW))).alias(n) for n in fields))
+
+
 def wide(panel: DataFrame, value: str = "px", tickers: list[str] | None = None) -> DataFrame:
     """A column per ticker: for hand-over only. Without a list the tickers are looked up first."""
     tickers = tickers or [r[0] for r in panel.select("ticker").distinct().orderBy("ticker").collect()]

@@ -58,23 +58,38 @@ class PointInTimeUniverse:
         self._volume = volume
         self._opens = opens
         self.membership = membership or Membership.from_panel(plain)
+        self._own = membership is None
+        self._rows: DataFrame | None = None
         self._features: dict[int, DataFrame] = {}
         self._kept = False
 
     @classmethod
     def from_bars(cls, bars: DataFrame, *, price_field: str = "adj_close", membership: Membership | None = None) -> PointInTimeUniverse:
-        ordered = panel.with_row_order(bars)
-        volume = panel.price_panel(ordered, "volume").withColumnRenamed("px", "volume")
-        return cls(panel.price_panel(ordered, price_field), volume=volume, opens=panel.adjusted_open(ordered), membership=membership, check=False)
+        return cls._of(panel.bar_panel(bars, price_field), membership)
+
+    @classmethod
+    def _of(cls, rows: DataFrame, membership: Membership | None) -> PointInTimeUniverse:
+        """From the panels side by side."""
+
+        def one(name: str) -> DataFrame:
+            return rows.where(F.col(name).isNotNull()).select("date", "ticker", name)
+
+        out = cls(one("px"), volume=one("volume"), opens=one("adj_open"), membership=membership, check=False)
+        out._rows = rows
+        return out
 
     def keep(self) -> PointInTimeUniverse:
         """Write the tables down, for several reads."""
-        for name in ("_prices", "_volume", "_opens"):
-            if getattr(self, name) is not None:
-                setattr(self, name, kept(getattr(self, name), name.strip("_")))
-        self.membership = Membership(kept(self.membership.intervals, "membership"))
-        self._kept = True
-        return self
+        if self._rows is not None:
+            out = self._of(kept(self._rows, "panels"), self.membership)
+        else:
+            tables = [None if t is None else kept(t, "panel") for t in (self._prices, self._volume, self._opens)]
+            out = PointInTimeUniverse(tables[0], volume=tables[1], opens=tables[2], membership=self.membership, check=False)
+        if self._own:
+            out.membership = Membership.from_panel(out._prices)
+        out.membership = Membership(kept(out.membership.intervals, "membership"))
+        out._kept = True
+        return out
 
     def tickers(self) -> list[str]:
         """All tickers ever: for reports, not for decisions."""
@@ -146,12 +161,14 @@ class PointInTimeUniverse:
         if window in self._features:
             return self._features[window]
         keys = ["date", "ticker"]
-        rows = self._prices.join(self.volatilities(window), keys, "left")
-        if self._volume is not None:
-            rows = rows.join(self.volumes(window), keys, "full")
+        if self._rows is not None:
+            rows = self._rows.drop("volume")
+        elif self._opens is not None:
+            rows = self._prices.join(self._opens, keys, "full")
         else:
-            rows = rows.withColumn("adv", F.lit(None).cast("double"))
-        rows = rows.join(self._opens, keys, "full") if self._opens is not None else rows.withColumn("adj_open", F.lit(None).cast("double"))
+            rows = self._prices.withColumn("adj_open", F.lit(None).cast("double"))
+        rows = rows.join(self.volatilities(window), keys, "left")
+        rows = rows.join(self.volumes(window), keys, "full") if self._volume is not None else rows.withColumn("adv", F.lit(None).cast("double"))
         past = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
         carried = [F.last(c, ignorenulls=True).over(past).alias(a) for c, a in (("px", "px_asof"), ("adv", "adv"))]
         # A price without two returns has no volatility, and hides none of before: only priced dates carry it.

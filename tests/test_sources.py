@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import numpy as np
 import pytest
@@ -61,7 +62,7 @@ def test_write_replaces_only_its_tickers(spark, tmp_path):
     assert {r.ticker: r["count"] for r in read.groupBy("ticker").count().collect()} == {"007": 10, "P0a": 30, "P0b": 30}
     assert [tuple(r) for r in read.where("ticker = 'P0a'").collect()] == [tuple(r) for r in schema.normalise(bars).where("ticker = 'P0a'").orderBy("date").collect()]
     pruned = storage.read_bars(spark, root, ["P0a"])
-    assert "PartitionFilters: [ticker" in pruned._jdf.queryExecution().toString() and pruned.count() == 30
+    assert re.search(r"PartitionFilters: \[[^\]]*ticker", pruned._jdf.queryExecution().toString()) and pruned.count() == 30
     assert storage.read_bars(spark, root, []).count() == 0
     with pytest.raises(FileNotFoundError):
         storage.read_bars(spark, f"{tmp_path}/none")
