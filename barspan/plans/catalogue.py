@@ -171,6 +171,26 @@ def price_as_of(spark, sf):
     return asked.join(u._prices, ["date", "ticker"], "left").select("date", "ticker", F.round(F.last("px", ignorenulls=True).over(past), 8).alias("px"))
 
 
+@query(f" SELECT ticker, ROUND(open * adj_close / close, 8) AS adj_open FROM bars WHERE date = TIMESTAMP '{DAY} 00:00:00'")
+def open_price(spark, sf):
+    """Adjusted opens of exactly one date."""
+    u = fixture.universe(spark, sf)
+    return u._opens.where(F.col("date") == F.lit(DAY).cast("timestamp_ntz")).select("ticker", r("adj_open"))
+
+
+@query(f" SELECT ticker, ROUND(AVG(volume), 4) AS adv FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM bars WHERE date <= TIMESTAMP '{DAY} 00:00:00') x WHERE k <= 20 GROUP BY ticker")
+def volume_as_of(spark, sf):
+    rows = fixture.universe(spark, sf).volumes().where(F.col("date") <= F.lit(DAY).cast("timestamp_ntz"))
+    return rows.groupBy("ticker").agg(F.round(F.max_by("adv", "date"), 4).alias("adv"))
+
+
+@query(f""", x AS (SELECT ticker, date, LN(adj_close) - LAG(LN(adj_close)) OVER (PARTITION BY ticker ORDER BY date) AS rr FROM bars WHERE date <= TIMESTAMP '{DAY} 00:00:00')
+  SELECT ticker, ROUND(CASE WHEN COUNT(rr) >= 2 THEN STDDEV_POP(rr) END, 8) AS vol FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM x) y WHERE k <= 20 GROUP BY ticker""")
+def volatility_as_of(spark, sf):
+    rows = fixture.universe(spark, sf).volatilities().where(F.col("date") <= F.lit(DAY).cast("timestamp_ntz"))
+    return rows.groupBy("ticker").agg(F.round(F.max_by("vol", "date"), 8).alias("vol"))
+
+
 # Signals.
 
 _PAIRS = _RETURNS + """, j AS (SELECT a.ticker AS x, b.ticker AS y, a.lpx AS lx, b.lpx AS ly, CASE WHEN b.ret IS NOT NULL THEN a.ret END AS rx, CASE WHEN a.ret IS NOT NULL THEN b.ret END AS ry FROM ret a JOIN ret b ON a.date = b.date AND a.ticker < b.ticker)"""
