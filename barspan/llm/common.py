@@ -120,5 +120,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if state == before:
             break
         before = state
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = now.select(F.col("lo").alias("node")).distinct().withColumn("component", F.col("node"))
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).unionByName(roots)
