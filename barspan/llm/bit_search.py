@@ -95,7 +95,7 @@ def index(vectors: DataFrame) -> DataFrame:
     """vec_id, size, vector, words, length, scalar of every vector that takes part; nothing is fitted."""
     common.arrow_rows(vectors.sparkSession)
     fine = vectors.where("vec_id is not null").where(usable("embedding"))
-    fine = fine.groupBy("vec_id").agg(F.min(F.transform("embedding", lambda v: v.cast("double"))).alias("embedding"))
+    fine = fine.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min(F.transform("embedding", lambda v: v.cast("double"))).alias("embedding"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -18,6 +19,11 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def texts(docs: DataFrame) -> DataFrame:
+    """doc_id as a 64-bit number, and text."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, one machine)."""
     sc = spark.sparkContext
@@ -30,15 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
     return where.rstrip("/")
 
 
-#: Folders of the written tables of this session, oldest first.
-_FOLDERS: list[str] = []
+_THREAD = threading.local()
+
+
+def _folders() -> list[str]:
+    """Folders of the tables that this thread has written, oldest first."""
+    return _THREAD.__dict__.setdefault("folders", [])
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows as a table in the shared folder, read again: lineage ends here and no executor's loss can undo it."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    _FOLDERS.append(path)
+    _folders().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -54,16 +64,16 @@ def drop_written(df: DataFrame) -> None:
 
 
 def written_alone(df: DataFrame, name: str, since: int) -> DataFrame:
-    """``written``, and then all tables written after the first ``since`` of this session go: those that only led to this one."""
-    out = written(df, name)
-    for folder in _FOLDERS[since:-1]:
+    """``written``, and then all tables that this thread wrote after its first ``since`` go: they only led to this one."""
+    out, folders = written(df, name), _folders()
+    for folder in folders[since:-1]:
         _delete(df.sparkSession, folder)
-    del _FOLDERS[since:-1]
+    del folders[since:-1]
     return out
 
 
 def tables_written() -> int:
-    return len(_FOLDERS)
+    return len(_folders())
 
 
 def arrow_rows(spark: SparkSession) -> None:

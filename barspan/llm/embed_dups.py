@@ -173,7 +173,7 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """vec_id, n_links, component_id, kept of ``vectors`` (vec_id, embedding)."""
     spark = vectors.sparkSession
     common.arrow_rows(spark)
-    named = vectors.where("vec_id is not null").select("vec_id", "embedding")
+    named = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     # Adding 0 makes -0.0 and 0.0 equal.
     fine = named.where(usable("embedding")).select("vec_id", F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0)).alias("embedding"))
     # Equal vectors are one from here on.

@@ -93,7 +93,7 @@ def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
                 packed = [bytes([width]) + pack.compress(raw[x * width : y * width]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, m), pa.array(counts), pa.array(curve_keys(bounds, ids)), pa.array(packed, pa.binary())], ["doc_id", "doc_tokens", "key", "ids"])
 
-    found = docs.select("doc_id", "text").mapInArrow(rows, "doc_id long, doc_tokens long, key long, ids binary")
+    found = common.texts(docs).mapInArrow(rows, "doc_id long, doc_tokens long, key long, ids binary")
     return common.written(found.withColumn("row", F.monotonically_increasing_id()), "encoded", "none")
 
 

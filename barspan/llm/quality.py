@@ -190,7 +190,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", max_rows:
                 raw = [grams[x:y].astype("<i4").tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, m), batch["label"].slice(a, m), pa.array(raw, pa.binary())], ["doc_id", "label", "grams"])
 
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(found, "doc_id long, label int, grams binary")
+    rows = common.texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(found, "doc_id long, label int, grams binary")
     # A repeated doc_id counts once.
     rows = common.written(rows.groupBy("doc_id", "label").agg(F.min("grams").alias("grams")), "training")
     sizes = rows.select("doc_id", F.xxhash64("doc_id").alias("h"), (F.length("grams") / 4).cast("long").alias("n"))
@@ -220,7 +220,7 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
 
 
 def op1_quality(spark, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = common.texts(common.read(spark, sf_dir, "documents"))
     out = scored(docs, train(docs, common.read(spark, sf_dir, "labels")))
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
     return out.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= ACCEPT).cast("int").alias("predicted"))

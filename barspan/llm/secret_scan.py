@@ -163,7 +163,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
             found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans(t.as_py() or "")] for t in batch["text"]]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(found, pa.list_(_SPAN))], ["doc_id", "spans"])
 
-    return docs.select("doc_id", "text").mapInArrow(scan, "doc_id long, spans array<struct<kind string, start long, end long>>")
+    return common.texts(docs).mapInArrow(scan, "doc_id long, spans array<struct<kind string, start long, end long>>")
 
 
 def redacted(text: str, mark: str) -> str:

@@ -174,7 +174,7 @@ def write_shards(docs: DataFrame, path: str | None = None, shard_ids: int = SHAR
     """Encode ``docs`` (doc_id, text) into files, in doc_id order over ``shard``; a written table, a row per file."""
     path = path or tok.vocabulary()
     common.arrow_rows(docs.sparkSession)
-    dealt = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = common.texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, held, n, k = tok.encoder(path), [], 0, 0

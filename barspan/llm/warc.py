@@ -101,7 +101,7 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     """A written table of archives (archive, n_records, file) of ``pages`` (page_id, url, html)."""
     common.arrow_rows(pages.sparkSession)
     payload = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("size", F.length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload")).withColumn("size", F.length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
     # Only digests are grouped. Payloads are dealt by page and digest, so a payload that very many pages share meets nowhere.
     known = rows.where(F.col("size") >= MIN_REVISIT).select("page_id", "digest").distinct()
     firsts = known.groupBy("digest").agg(F.min(F.struct(F.col("page_id").isNull().alias("last"), "page_id")).alias("first"), F.count("*").alias("n")).where("n > 1")

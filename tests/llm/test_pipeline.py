@@ -31,3 +31,18 @@ def test_run_on_tables(spark, sf):
         assert (s == t and a + n == b) or (t == s + 1 and b == 0 and a + n == 4096)
     clean = corpus_pipeline.hide_secrets(spark, docs, sf).collect()
     assert not any(k in ("access", "jwt", "pem") for r in clean for k, *_ in secret_scan.spans(r.text or ""))
+
+
+def test_narrower_ids(spark):
+    """Ids of 32 bits are as good as wider ones."""
+    from barspan.llm import bit_search, embed_dups, packing, token_files, warc
+
+    docs = spark.createDataFrame([(1, "a b c", "s"), (2, "a b c", "s")], "doc_id int, text string, source string")
+    assert {r.component_id for r in near_dups.near_duplicates(docs).collect()} == {1}
+    assert token_files.read_shards(token_files.write_shards(docs)).count() == 2
+    assert packing.pack(docs).count() == 2 and secret_scan.find_secrets(docs).count() == 2
+    rows = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], "vec_id int, embedding array<double>")
+    assert {r.n_links for r in embed_dups.link_vectors(rows).collect()} == {1}
+    assert bit_search.search(bit_search.index(rows), rows).count() == 2
+    pages = spark.createDataFrame([(1, "u", "x" * 100), (2, "u", "x" * 100)], "page_id int, url string, html string")
+    assert [r.refers_to for r in warc.read_archives(warc.write_archives(pages)).orderBy("page_id").collect()] == [None, 1]
