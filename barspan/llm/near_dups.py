@@ -102,7 +102,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(sizes > 0, w, 0)))), pa.int32()), pa.array(v), mask=none) for w, v in ((BANDS, bands), (SKETCH_BITS // 64, bits))]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, m), pa.array(sizes), *map(pa.array, out), *lists], ["doc_id", "n_shingles", "same", "same2", "bands", "sketch"])
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(signed, SIGNED)
+    return common.texts(docs).where("doc_id is not null").mapInArrow(signed, SIGNED)
 
 
 def _near(x: str, y: str):
@@ -194,10 +194,10 @@ def across(members: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFram
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id reachable by links), kept (it is its component's least)."""
+    since = common.tables_written()
     signed = common.written(signatures(docs), "signatures")
     sets = signed.where("n_shingles > 0")
     first = sets.groupBy("same", "same2").agg(F.min("doc_id").alias("rep"))
-    members = sets.select("doc_id", "same", "same2").distinct().join(first, ["same", "same2"]).select("doc_id", "rep")
     # Of the rows of one doc_id and set any will do: they are equal.
     reps = sets.join(first.select(F.col("rep").alias("doc_id"), "same", "same2"), ["doc_id", "same", "same2"], "left_semi").dropDuplicates(["doc_id", "same", "same2"])
     reps = common.written(reps.select("doc_id", "bands", "sketch"), "classes")
@@ -210,7 +210,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ranked = shared.join(company, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("company", -F.col("doc_id"))).alias("a"))
     bits = reps.select("doc_id", "sketch")
     # Whole texts cross the network once, and only those that have company in a bucket are kept for comparing.
-    docs = common.written(docs.select("doc_id", "text").join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
+    docs = common.written(common.texts(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
 
     def promising(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
@@ -242,10 +242,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         found = common.written(across(now, docs, bits), "links")
         if not found.isEmpty():
             parts = common.components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(found))
+    members = sets.select("doc_id", "same", "same2").distinct().join(first, ["same", "same2"]).select("doc_id", "rep")
     found = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
     out = signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(found, "doc_id", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.withColumn("kept", F.col("component_id") == F.col("doc_id"))
+    # Three numbers a document: with them written, sketches, buckets and candidate texts can go.
+    return common.written_alone(out, "classified", since).withColumn("kept", F.col("component_id") == F.col("doc_id"))
 
 
 def op8_near_duplicates(spark, sf_dir: str) -> DataFrame:
