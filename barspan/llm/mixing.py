@@ -68,8 +68,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
         return (F.floor(offset + (F.col("before") + 1) * rate) - F.floor(offset + F.col("before") * rate)).cast("long")
 
     def offset(k: int):
-        """Between 0 and 1, and the same for a source in every run."""
-        return F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(seed), F.lit(k)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        """Between 0 and 1, and the same for a source in every run; of 16 bits, so that sums with whole numbers stay exact."""
+        return F.pmod(F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.lit(seed), F.lit(k)), F.lit(1 << 16)) / F.lit(float(1 << 16))
 
     # Of a few random offsets the one that takes the number of words nearest to the target.
     tried = [F.struct(F.abs(F.sum(copies(offset(k)) * F.col("size")) - F.first("target")).alias("off"), F.first(offset(k)).alias("at")) for k in range(OFFSETS)]
