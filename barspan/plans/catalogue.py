@@ -40,9 +40,10 @@ def r(name: str, digits: int = 8, of=None):
 # Bars, panels, returns.
 
 
-@query(" SELECT date, ticker, ROUND(open, 6) AS open, ROUND(high, 6) AS high, ROUND(low, 6) AS low, ROUND(close, 6) AS close, ROUND(adj_close, 6) AS adj_close, volume FROM bars")
+@query(" SELECT date, ticker, open, high, low, close, adj_close, volume FROM bars")
 def bars_daily(spark, sf):
-    return fixture.derived_bars(spark, sf).select("date", "ticker", *(r(c, 6) for c in ("open", "high", "low", "close", "adj_close")), "volume")
+    """Values are the same to the last bit, so they are not rounded."""
+    return fixture.derived_bars(spark, sf).select("date", "ticker", "open", "high", "low", "close", "adj_close", "volume")
 
 
 @query(" SELECT date, MAX(CASE WHEN ticker = 'AF' THEN adj_close END) AS AF, MAX(CASE WHEN ticker = 'AO' THEN adj_close END) AS AO, MAX(CASE WHEN ticker = 'NF' THEN adj_close END) AS NF, MAX(CASE WHEN ticker = 'NO' THEN adj_close END) AS NO, MAX(CASE WHEN ticker = 'RF' THEN adj_close END) AS RF, MAX(CASE WHEN ticker = 'RO' THEN adj_close END) AS RO FROM bars GROUP BY date")
