@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import threading
@@ -84,6 +85,17 @@ def arrow_rows(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def rest() -> None:
+    """Give memory that a Python worker no longer uses back to the machine: workers stay, idle, beside the next stage's."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def prefix_sums(df: DataFrame, order: list[str], value: str, out: str, group: str | None = None) -> DataFrame:
     """``out``: the sum of ``value`` over all rows before this one in the order, within ``group`` if given.
 

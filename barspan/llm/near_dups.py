@@ -101,6 +101,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 none = pa.array(sizes == 0)
                 lists = [pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(np.where(sizes > 0, w, 0)))), pa.int32()), pa.array(v), mask=none) for w, v in ((BANDS, bands), (SKETCH_BITS // 64, bits))]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, m), pa.array(sizes), *map(pa.array, out), *lists], ["doc_id", "n_shingles", "same", "same2", "bands", "sketch"])
+        common.rest()
 
     return common.texts(docs).where("doc_id is not null").mapInArrow(signed, SIGNED)
 

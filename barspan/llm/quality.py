@@ -188,6 +188,7 @@ def train(docs: DataFrame, labels: DataFrame, column: str = "quality", max_rows:
                 bounds, grams = features(batch["text"].slice(a, m))
                 raw = [grams[x:y].astype("<i4").tobytes() for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch["doc_id"].slice(a, m), batch["label"].slice(a, m), pa.array(raw, pa.binary())], ["doc_id", "label", "grams"])
+        common.rest()
 
     rows = common.texts(docs).join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text").mapInArrow(found, "doc_id long, label int, grams binary")
     # A repeated doc_id counts once.
@@ -213,6 +214,7 @@ def scored(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
         for batch in batches:
             values = [shared.value.scores(batch["text"].slice(a, m)) for a, m in tok.in_parts(batch["text"], 2_000_000)]
             yield pa.RecordBatch.from_arrays([*(batch[c] for c in names), pa.array(np.concatenate([*values, np.zeros(0)]))], [*names, column])
+        common.rest()
 
     docs = docs.select(*names)
     return docs.mapInArrow(score, T.StructType([*docs.schema.fields, T.StructField(column, T.DoubleType())]))

@@ -189,6 +189,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             if "n_chars" in columns:
                 made["n_chars"] = pa.array([n if t is None else len(t) for t, n in zip(texts, batch["n_chars"].to_pylist(), strict=True)], batch["n_chars"].type)
             yield pa.RecordBatch.from_arrays([made.get(c, batch[c]) for c in columns], columns)
+        common.rest()
 
     return docs.mapInArrow(clean, T.StructType(docs.schema.fields))
 

@@ -10,6 +10,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from barspan.llm import common
+
 #: End id appended to each document.
 END_ID = 2
 #: Words whose ids a worker keeps at once, in each of two generations: bounds its memory.
@@ -84,6 +86,11 @@ class WordEncoder:
         self._learn(new)
         return [now[w] for w in words]
 
+    def rest(self) -> None:
+        """Between tasks: the older words go, and free memory goes back to the machine."""
+        self.old = {}
+        common.rest()
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(number of ids of each text, all ids in a row); null texts are empty."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")

@@ -195,6 +195,8 @@ def write_shards(docs: DataFrame, path: str | None = None, shard_ids: int = SHAR
                     held, n, k = [], 0, k + 1
         if held:
             yield closed()
+            held = []
+        encode.rest()
 
     return common.written(dealt.mapInArrow(shards, FILES), "token-files", "none")
 
