@@ -105,10 +105,10 @@ def plain_search(rows, k, every):
     return out
 
 
-@pytest.mark.parametrize("sizes", [(16_384, 4_096), (50, 7)])
-def test_search(spark, monkeypatch, sizes):
-    monkeypatch.setattr(bit_search, "CANDIDATES", sizes[0])
-    monkeypatch.setattr(bit_search, "QUERIES", sizes[1])
+@pytest.mark.parametrize("query_bytes,tile", [(32 << 20, 64), (9000, 7)])
+def test_search(spark, monkeypatch, query_bytes, tile):
+    monkeypatch.setattr(bit_search, "QUERY_BYTES", query_bytes)
+    monkeypatch.setattr(bit_search, "TILE", tile)
     rows = vectors(2)
     data = frame(spark, rows)
     found = {}
@@ -146,9 +146,30 @@ def test_estimates_keep_their_bounds():
     x = rng.standard_normal((4000, 64)) * rng.uniform(0.1, 10, (4000, 1))
     words, length, scalar = bit_search.codes(x)
     assert words.shape == (4000, 1) and np.allclose(length, np.linalg.norm(x, axis=1))
-    for q in rng.standard_normal((5, 64)):
-        got, error = bit_search.estimates(words, length, scalar, q)
-        assert (np.abs(got - x @ q) <= error).mean() > 0.95
+    asked = rng.standard_normal((5, 64))
+    got, error = bit_search.estimates(words, length, scalar, bit_search.prepared(np.arange(5), asked))
+    assert got.shape == (5, 4000) and ((np.abs(got - asked @ x.T) <= error).mean(axis=1) > 0.95).all()
+
+
+def test_search_ties_go_to_the_smaller_id(spark):
+    """Copies of a vector, dealt over blocks of many sizes, score alike and stand in order of their ids."""
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.standard_normal(96).tolist()) for k in range(900)]
+    common = rows[0][1]
+    copies = rng.permutation(np.arange(1, 900))[:120]
+    for k in copies:
+        rows[k] = (int(k), common)
+    data = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
+    found = bit_search.search(bit_search.index(data), data.where("vec_id % 20 = 0"), 20).collect()
+    of = {}
+    for r in sorted(found, key=lambda r: r["rank"]):
+        of.setdefault(r.query_id, []).append((r.vec_id, r.score))
+    alike = sorted([0, *map(int, copies)])
+    for q in (k for k in alike if k % 20 == 0):
+        assert [i for i, _ in of[q]] == [k for k in alike if k != q][:20]
+        assert len({s for _, s in of[q]}) == 1
+    for own in of.values():
+        assert own == sorted(own, key=lambda o: (-o[1], o[0]))
 
 
 def test_search_of_nothing(spark):
