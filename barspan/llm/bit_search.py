@@ -95,16 +95,21 @@ def prepared(ids: np.ndarray, vectors: np.ndarray) -> Queries:
 def estimates(words: np.ndarray, length: np.ndarray, scalar: np.ndarray, queries: Queries) -> tuple[np.ndarray, np.ndarray]:
     """(estimated inner product, bound of its error), queries x codes."""
     dimension = queries.vectors.shape[1]
-    ones = np.bitwise_count(words).sum(axis=1, dtype=np.int32)
-    dot = np.zeros((len(queries.ids), len(words)), np.int32)
-    for b in range(QUERY_BITS):
+    ones = np.bitwise_count(words).sum(axis=1, dtype=np.float64)
+    dot = np.zeros((len(queries.ids), len(words)), np.uint16 if dimension <= 256 else np.uint32)
+    for b in range(QUERY_BITS - 1, -1, -1):
+        dot <<= 1
         for w in range(words.shape[1]):
-            dot += np.bitwise_count(words[None, :, w] & queries.planes[:, b, w, None]).astype(np.int32) << b
-    low, step = queries.low[:, None], queries.step[:, None]
-    signed = (2 * (low * ones + step * dot) - (low * dimension + step * queries.total[:, None])) / math.sqrt(dimension)
-    error = DEVIATIONS * np.sqrt(np.maximum(1 - scalar * scalar, 0) / max(dimension - 1, 1)) + step / 2 * math.sqrt(dimension)
-    scale = length / scalar * queries.size[:, None]
-    return signed * scale, error * scale
+            dot += np.bitwise_count(words[None, :, w] & queries.planes[:, b, w, None])
+    root, (size, low, step, total) = math.sqrt(dimension), (x[:, None] for x in (queries.size, queries.low, queries.step, queries.total))
+    around = dot * (2 * step / root)
+    around += 2 * low / root * ones
+    around -= (low * dimension + step * total) / root
+    scale = length / scalar
+    around *= scale * size
+    error = (DEVIATIONS * np.sqrt(np.maximum(1 - scalar * scalar, 0) / max(dimension - 1, 1)) * scale)[None, :] + step / 2 * root * scale
+    error *= size
+    return around, error
 
 
 def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -133,8 +138,21 @@ class Nearest:
             if len(ids) > self.k and np.isinf(bar).any():
                 lower = np.where(other, around - error, -np.inf)
                 bar = np.maximum(bar, np.partition(lower, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
-            query, candidate = np.nonzero(other & (around + error >= bar[:, None]))
-            if len(query):
+            around += error
+            near, about = other & (around >= bar[:, None]), np.abs(vectors).max() * np.finfo(float).eps * vectors.shape[1] * 4
+            pairs = []
+            for q in np.flatnonzero(near.any(axis=1)):
+                # Products that are quick, but right only to the last bits, tell which are worth the sum in order.
+                some, vector = np.flatnonzero(near[q]), own.vectors[q]
+                quick, slack = vectors[some] @ vector, about * np.abs(vector).sum()
+                least = self.scores[a + q].min() if self.held[a + q] == self.k else -np.inf
+                if len(some) > self.k:
+                    least = max(least, np.partition(quick, len(some) - self.k)[len(some) - self.k])
+                some = some[quick >= least - 2 * slack]
+                if len(some):
+                    pairs.append((np.full(len(some), q), some))
+            if pairs:
+                query, candidate = (np.concatenate(x) for x in zip(*pairs, strict=True))
                 self._merge(a, query, ids[candidate], products(vectors[candidate], own.vectors[query]))
 
     def _merge(self, a: int, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
