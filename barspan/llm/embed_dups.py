@@ -5,11 +5,13 @@ Vectors that meet in a leaf of any tree are compared by cosine in double precisi
 in the first of them, so links are counted exactly without a list of pairs; what leaves a task is each vector's number of
 links and enough of the links to connect what is connected.
 
-Trees are fitted to a bounded sample (``SAMPLE`` vectors of the lowest hash); every vector is dealt and compared. Equal vectors
+Trees are fitted to a bounded sample (``SAMPLE_BYTES`` of the vectors of the lowest hash); every vector is dealt and compared. A node is
+split until the sample says that a leaf holds about ``LEAF`` vectors, or that no direction parts it (vectors all near each other). Equal vectors
 are compared once and counted as often as they occur. Large leaves are compared block by block over many tasks.
 
-Recall: two vectors at a cosine of 0.95 part at a split with a chance of about 0.007, closer ones more rarely, so of a
-million pairs at the threshold itself one or two meet in no leaf of five trees of depth 10, and 40 of five of depth 20.
+Recall: two vectors at a cosine of 0.95 part at a split with a chance of about 0.033, closer ones more rarely. The number of trees follows
+from the depth, so that of ten thousand pairs at the threshold itself one meets in no leaf. A vector's places therefore grow slowly with the
+table, about as its 0.16th power; tests measure both.
 
 Defined cases: null and zero vectors, and those with null or non-finite components, link with nothing and are kept; vectors of
 different lengths link with nothing; repeated rows of one vec_id are vectors of their own that share its row; rows with a null vec_id
@@ -28,15 +30,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barspan.llm import common, shingles
+from barspan.llm import common
 
 THRESHOLD = 0.95
-TREES = 5
-#: Expected vectors in a leaf without spill.
-LEAF = 64
+#: Vectors that a leaf is meant to hold: as many comparisons as cost about what sending a vector does.
+LEAF = 768
 #: Distance from a split, in lengths of a unit vector times 1/sqrt(dimension), within which a vector goes to both sides.
-SPILL = 0.24
-SAMPLE = 20_000
+SPILL = 0.12
+#: Shares of vectors that go to both sides, and chance that a split parts two at a cosine of 0.95.
+BOTH, PARTS = 0.096, 0.033
+#: Chance that two at the threshold meet in no tree.
+MISSED = 1e-4
+#: Bytes (of 8 a component) of the vectors that trees are fitted to, and least of them in a node that is split.
+SAMPLE_BYTES, LEAST = 32 << 20, 16
 #: Random directions of a tree; each node uses one.
 DIRECTIONS = 64
 #: Vectors of a leaf that are compared with as many others in one task.
@@ -63,63 +69,83 @@ def _directions(tree: int, dimension: int) -> np.ndarray:
     return d / np.sqrt((d * d).sum(0))
 
 
-def _direction(tree: int, level: int, nodes: np.ndarray) -> np.ndarray:
-    """The direction that each node splits along."""
-    return (shingles.mixed(nodes.astype(np.uint64) + np.uint64((tree << 8 | level) << 40)) % np.uint64(DIRECTIONS)).astype(np.int64)
+def trees_for(count: int, leaf: int) -> int:
+    """Trees for so many vectors: what a pair's chance to stay together down one tree asks for."""
+    depth = max(0.0, math.log(max(1, count) / leaf) / math.log(2 / (1 + BOTH)))
+    together = (1 - PARTS) ** depth
+    return 1 if together > 1 - 1e-9 else max(2, math.ceil(math.log(MISSED) / math.log(1 - together)))
 
 
 @dataclasses.dataclass
-class Forest:
-    """``splits[tree][level]``: the split value of each node, on levels the sample reaches; below, ``overall[tree]`` by direction."""
+class Tree:
+    """Nodes in rows: the direction and value they split at, and the lower of their two children, which follow each other; 0 for a leaf."""
+
+    along: np.ndarray
+    split: np.ndarray
+    child: np.ndarray
+
 
+@dataclasses.dataclass
+class Forest:
     dimension: int
-    depth: int
-    splits: list[list[np.ndarray]]
-    overall: list[np.ndarray]
+    trees: list[Tree]
 
-    def split(self, tree: int, level: int, nodes: np.ndarray, along: np.ndarray) -> np.ndarray:
-        return self.splits[tree][level][nodes] if level < len(self.splits[tree]) else self.overall[tree][along]
+    @functools.cached_property
+    def first(self) -> np.ndarray:
+        """Number of each tree's first node among all trees' nodes."""
+        return np.concatenate(([0], np.cumsum([len(t.child) for t in self.trees])))
 
     def leaves(self, vectors: np.ndarray, tree: int) -> tuple[np.ndarray, np.ndarray]:
         """(row of each place, its leaf): a row has one place for each leaf it is in."""
+        own = self.trees[tree]
         projected = vectors @ _directions(tree, self.dimension)
         rows, nodes, margin = np.arange(len(vectors)), np.zeros(len(vectors), np.int64), SPILL / math.sqrt(self.dimension)
-        for level in range(self.depth):
-            along = _direction(tree, level, nodes)
-            off = projected[rows, along] - self.split(tree, level, nodes, along)
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(rows):
+            child = own.child[nodes]
+            at_end = child == 0
+            done.append((rows[at_end], nodes[at_end]))
+            rows, nodes, child = rows[~at_end], nodes[~at_end], child[~at_end]
+            off = projected[rows, own.along[nodes]] - own.split[nodes]
             low, high = off < margin, off >= -margin
-            rows = np.concatenate((rows[low], rows[high]))
-            nodes = np.concatenate((nodes[low] * 2, nodes[high] * 2 + 1))
-        return rows, nodes + (tree << self.depth)
+            rows, nodes = np.concatenate((rows[low], rows[high])), np.concatenate((child[low], child[high] + 1))
+        return np.concatenate([r for r, _ in done]), np.concatenate([n for _, n in done]) + self.first[tree]
 
-    def places(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The same over all trees."""
-        found = [self.leaves(vectors, tree) for tree in range(len(self.overall))]
+    def places(self, vectors: np.ndarray, before: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The same over all trees, or over those up to the one that has the leaf ``before``."""
+        trees = len(self.trees) if before is None else int(np.searchsorted(self.first, before, "right"))
+        found = [self.leaves(vectors, tree) for tree in range(trees)]
         return np.concatenate([r for r, _ in found]), np.concatenate([n for _, n in found])
 
 
-def grow(sample: np.ndarray, depth: int, trees: int = TREES, least: int = 8) -> Forest:
-    """Splits at the sample's medians; where a node has fewer than ``least`` of the sample, at the median of all along its direction."""
-    forest = Forest(sample.shape[1], depth, [], [])
-    reached = min(depth, max(0, int(math.log2(max(1, len(sample) / least)))))
-    for tree in range(trees):
-        projected = sample @ _directions(tree, forest.dimension)
-        overall = np.median(projected, axis=0)
-        nodes, levels = np.zeros(len(sample), np.int64), []
-        for level in range(reached):
-            along = _direction(tree, level, np.arange(1 << level))
-            split = overall[along]
-            own = projected[np.arange(len(sample)), along[nodes]]
-            order = np.lexsort((own, nodes))
-            first = np.searchsorted(nodes[order], np.arange((1 << level) + 1))
-            count = np.diff(first)
-            enough = np.flatnonzero(count >= least)
-            split[enough] = own[order][first[:-1][enough] + count[enough] // 2]
-            levels.append(split)
-            nodes = nodes * 2 + (own >= split[nodes])
-        forest.splits.append(levels)
-        forest.overall.append(overall)
-    return forest
+def grow(sample: np.ndarray, count: int, leaf: int | None = None) -> Forest:
+    """Trees for ``count`` vectors of which this is a sample: nodes split at the sample's medians until ``leaf`` is reached."""
+    leaf = leaf or LEAF
+    dimension, share = sample.shape[1], max(1, count) / max(1, len(sample))
+    margin, trees = SPILL / math.sqrt(max(1, dimension)), []
+    for tree in range(trees_for(count, leaf)):
+        projected = (sample @ _directions(tree, dimension)).astype(np.float32)
+        rng = np.random.default_rng([tree, 78])
+        along, split, child, members = [0], [0.0], [0], [np.arange(len(sample))]
+        node = 0
+        while node < len(child):
+            own, members[node] = members[node], None
+            if len(own) * share > leaf and len(own) >= LEAST:
+                # Of a few random directions the first that parts the node: near-equal vectors would all go to both sides.
+                for direction in rng.integers(0, DIRECTIONS, 4).tolist():
+                    values = projected[own, direction]
+                    middle = float(np.median(values))
+                    low, high = own[values < middle + margin], own[values >= middle - margin]
+                    if len(low) + len(high) <= 1.4 * len(own):
+                        along[node], split[node], child[node] = direction, middle, len(child)
+                        along += [0, 0]
+                        split += [0.0, 0.0]
+                        child += [0, 0]
+                        members += [low, high]
+                        break
+            node += 1
+        trees.append(Tree(np.array(along), np.array(split), np.array(child)))
+    return Forest(dimension, trees)
 
 
 def packed(vector: np.ndarray) -> bytes:
@@ -160,7 +186,7 @@ def compared(table: pa.Table, forest: Forest, threshold: float) -> tuple[np.ndar
     if not len(some):
         return ids[:0], ids[:0], ids[:0]
     linked, ids, weight = linked[np.ix_(some, some)], ids[some], weight[some]
-    rows, places = forest.places(vectors[some])
+    rows, places = forest.places(vectors[some], leaf)
     before = places < leaf
     known, column = np.unique(places[before], return_inverse=True)
     member = np.zeros((len(some), max(1, len(known))), np.float32)
@@ -176,6 +202,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     named = vectors.where("vec_id is not null").select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     # Adding 0 makes -0.0 and 0.0 equal.
     fine = named.where(usable("embedding")).select("vec_id", F.transform("embedding", lambda v: v.cast("double") + F.lit(0.0)).alias("embedding"))
+    # A vector's two hashes stand for it where only its class is asked for: its rows may be many and are joined as two numbers.
+    hashes = [F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")]
     # Equal vectors are one from here on.
     classes = common.written(fine.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")), "vectors")
     count, dimension = classes.agg(F.count("*"), F.max(F.size("embedding"))).first()
@@ -184,8 +212,8 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         links = found.groupBy("rep").agg(F.sum("links").alias("links"))
         parts = common.components(found.where("least <> rep").select(F.col("rep").alias("a"), F.col("least").alias("b")))
         of_class = classes.join(links, "rep", "left").join(parts.withColumnRenamed("node", "rep"), "rep", "left")
-        of_class = of_class.select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-        linked = fine.join(of_class, "embedding").groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+        of_class = of_class.select(*hashes, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+        linked = fine.select("vec_id", *hashes).join(of_class, ["h1", "h2"]).groupBy("vec_id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     else:
         linked = spark.createDataFrame([], "vec_id long, n_links long, component_id long")
     out = named.select("vec_id").distinct().join(linked, "vec_id", "left")
@@ -195,11 +223,12 @@ def link_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def _links(classes: DataFrame, count: int, dimension: int, threshold: float) -> DataFrame:
     """A written table of (rep, links, least): what each block says of the vectors that have links there."""
-    chosen = classes.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").collect()
+    rows = max(1, SAMPLE_BYTES // (8 * max(1, dimension)))
+    chosen = classes.orderBy(F.xxhash64("rep"), "rep").limit(rows).select("embedding").toArrow()["embedding"].combine_chunks()
+    size = np.diff(chosen.offsets.to_numpy())
     sample = np.zeros((len(chosen), dimension))
-    for k, row in enumerate(chosen):
-        sample[k, : len(row.embedding)] = row.embedding
-    forest = classes.sparkSession.sparkContext.broadcast(grow(unit(sample), max(0, math.ceil(math.log2(count / LEAF))) if count > LEAF else 0))
+    sample[np.arange(dimension)[None, :] < size[:, None]] = chosen.flatten().to_numpy()
+    forest = classes.sparkSession.sparkContext.broadcast(grow(unit(sample), count))
 
     def route(payload: bool):
         names = ["leaf", "size"] + ["rep", "n", "vector"] * payload

@@ -84,11 +84,47 @@ def test_repeated_rows_of_a_vector(spark):
 def test_forest_deals_every_vector():
     rng = np.random.default_rng(0)
     x = embed_dups.unit(rng.standard_normal((3000, 8)))
-    forest = embed_dups.grow(x[:200], 9)
-    for tree in range(embed_dups.TREES):
+    forest = embed_dups.grow(x[:600], 3000, 100)
+    assert len(forest.trees) > 2
+    for tree in range(len(forest.trees)):
         rows, leaves = forest.leaves(x, tree)
         assert set(rows) == set(range(3000))
         assert np.bincount(leaves - leaves.min()).max() < 600
+    assert forest.places(x[:5])[1].max() < forest.first[-1]
+
+
+def planted(n, clusters, d=64, seed=5):
+    """Unit vectors, half of them partners of the other half at a cosine of 0.951."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n // 2, d))
+    if clusters:
+        x = rng.standard_normal((clusters, d))[rng.integers(0, clusters, n // 2)] + 0.6 * x
+    x = embed_dups.unit(x)
+    off = rng.standard_normal(x.shape)
+    off = embed_dups.unit(off - (off * x).sum(1, keepdims=True) * x)
+    return x, 0.951 * x + math.sqrt(1 - 0.951**2) * off
+
+
+@pytest.mark.parametrize("clusters", [0, 50])
+@pytest.mark.parametrize("n,leaf,depth,places,largest", [(10_000, 18, 10, 32, 0.02), (10_000, 200, 6, 14, 0.2), (6_000, 1, 14, 110, 0.05)])
+def test_forest_recall_and_places(monkeypatch, n, leaf, depth, places, largest, clusters):
+    """Planted pairs at the threshold meet, at the depth of a table of 10 thousand to many millions; places and leaves stay few and small."""
+    x, y = planted(n, clusters)
+    both = np.concatenate((x, y))
+    monkeypatch.setattr(embed_dups, "LEAST", 4)
+    forest = embed_dups.grow(both, n, leaf)
+    met, total, most = np.zeros(len(x), bool), 0, 0
+    for tree in range(len(forest.trees)):
+        leaves = [{}, {}]
+        for side, v in enumerate((x, y)):
+            rows, at = forest.leaves(v, tree)
+            total += len(rows)
+            most = max(most, np.bincount(at - forest.first[tree]).max())
+            for r, a in zip(rows.tolist(), at.tolist(), strict=True):
+                leaves[side].setdefault(r, set()).add(a)
+        met |= np.array([bool(leaves[0][r] & leaves[1][r]) for r in range(len(x))])
+    print(depth, clusters, len(forest.trees), met.mean(), total / n, most / n)
+    assert met.mean() >= 0.99 and total / n <= places and most / n <= largest
 
 
 def plain_search(rows, k, every):
