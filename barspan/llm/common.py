@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
-import shutil
-import tempfile
 import threading
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barspan import tables
+
 #: Arrow batches between JVM and Python end at so many rows or bytes: documents and files can be long.
 ARROW_ROWS, ARROW_BYTES = 4000, 16 << 20
 
@@ -25,18 +25,6 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, one machine)."""
-    sc = spark.sparkContext
-    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not where:
-        where = tempfile.mkdtemp(prefix="barspan-")
-        atexit.register(shutil.rmtree, where, True)
-        sc.setCheckpointDir(where)
-        where = sc.getCheckpointDir()
-    return where.rstrip("/")
-
-
 _THREAD = threading.local()
 
 
@@ -47,28 +35,23 @@ def _folders() -> list[str]:
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """The rows as a table in the shared folder, read again: lineage ends here and no executor's loss can undo it."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = tables.new_folder(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     _folders().append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def drop_written(df: DataFrame) -> None:
     """Delete the files behind a ``written`` table that nothing reads any more."""
     for folder in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        _delete(df.sparkSession, folder)
+        tables.delete(df.sparkSession, folder)
 
 
 def written_alone(df: DataFrame, name: str, since: int) -> DataFrame:
     """``written``, and then all tables that this thread wrote after its first ``since`` go: they only led to this one."""
     out, folders = written(df, name), _folders()
     for folder in folders[since:-1]:
-        _delete(df.sparkSession, folder)
+        tables.delete(df.sparkSession, folder)
     del folders[since:-1]
     return out
 
@@ -85,12 +68,35 @@ def arrow_rows(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
+def export(files: DataFrame, folder: str, number: str, suffix: str) -> DataFrame:
+    """Write each row's ``file`` under ``folder`` (a URI that all executors reach) as its own file; path and size of each.
+
+    Names come from ``number``, and a file gets its name once it is whole, so a task that runs again leaves the same files.
+    """
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        store, top = fs.FileSystem.from_uri(folder)
+        store.create_dir(top, recursive=True)
+        for batch in batches:
+            paths = [f"{top}/{k:016x}{suffix}" for k in batch["number"].to_pylist()]
+            for path, file in zip(paths, batch["file"], strict=True):
+                with store.open_output_stream(own := f"{path}.{uuid.uuid4().hex}") as out:
+                    out.write(file.as_buffer())
+                store.move(own, path)
+            yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array([len(f.as_buffer()) for f in batch["file"]], pa.int64())], ["path", "bytes"])
+
+    arrow_rows(files.sparkSession)
+    return files.select(F.col(number).alias("number"), "file").mapInArrow(put, "path string, bytes long")
+
+
 def rest() -> None:
     """Give memory that a Python worker no longer uses back to the machine: workers stay, idle, beside the next stage's."""
     import ctypes
 
-    import pyarrow as pa
-
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
         ctypes.CDLL(None).malloc_trim(0)

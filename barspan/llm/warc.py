@@ -2,11 +2,12 @@
 
 An archive begins with a skippable frame that holds the dictionary; each record after it is a frame of its own, so
 any record can be read alone. Payloads of at least ``MIN_REVISIT`` bytes that occur again are written once, as the response of
-the least page_id; the others are revisit records that name it.
+the least page_id; the others are revisit records that name it. Archives are rows of a table in the shared folder; ``common.export`` writes
+them out as files of their own.
 
 Defined cases: a null html is an empty payload; a null url is written as an empty target; repeated rows of one page_id are records
-of their own, and all of them responses if they are the first of their payload; a null page_id counts as greater than all others and is written as
-an empty record id; an empty table gives no archives. Columns other than page_id, url and html are not read.
+of their own, with their own record ids, and all of them responses if they are the first of their payload; a null page_id counts as greater
+than all others and is written as an empty number; an empty table gives no archives. Columns other than page_id, url and html are not read.
 """
 
 from __future__ import annotations
@@ -41,17 +42,18 @@ def record(kind: str, headers: list[tuple[str, str]], block: bytes) -> bytes:
     return "\r\n".join(lines).encode() + block + b"\r\n\r\n"
 
 
-def page_record(page_id: int | None, url: str | None, size: int, digest: str, payload: bytes | None, refers_to: int | None) -> bytes:
-    """A response with its payload, or without one a revisit of another page's."""
+def page_record(name: str, page_id: int | None, url: str | None, size: int, digest: str, payload: bytes | None, refers_to: int | None) -> bytes:
+    """A response with its payload, or without one a revisit of another page's, found by that page's number and the payload's digest."""
     headers = [
-        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
+        ("WARC-Record-ID", name),
+        ("X-Page-ID", "" if page_id is None else str(page_id)),
         ("WARC-Target-URI", quote(url or "", safe="%/:=&?~#+!$,;'@()*[]")),
         ("WARC-Date", "1970-01-01T00:00:00Z"),
         ("WARC-Payload-Digest", f"sha256:{digest}"),
         ("X-Payload-Length", str(size)),
     ]
     if payload is None:
-        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
+        headers += [("WARC-Profile", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"), ("X-Refers-To-Page", "" if refers_to is None else str(refers_to))]
         return record("revisit", [*headers, ("Content-Type", "application/http; msgtype=response")], _HTTP % size)
     return record("response", [*headers, ("Content-Type", "application/http; msgtype=response")], _HTTP % size + payload)
 
@@ -112,13 +114,16 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     def files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, k = [], 0, 0
 
+        def number() -> int:
+            return (TaskContext.get().partitionId() << 32) + k
+
         def closed() -> pa.RecordBatch:
-            row = [(TaskContext.get().partitionId() << 32) + k, len(held), archive([record("warcinfo", [("WARC-Record-ID", "<urn:archive>"), ("WARC-Date", "1970-01-01T00:00:00Z")], b"format: WARC File Format 1.1\r\n"), *held])]
+            row = [number(), len(held), archive([record("warcinfo", [("WARC-Record-ID", f"<urn:archive:{number()}>"), ("WARC-Date", "1970-01-01T00:00:00Z")], b"format: WARC File Format 1.1\r\n"), *held])]
             return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int64(), pa.int64(), pa.binary()), strict=True)], ["archive", "n_records", "file"])
 
         for batch in batches:
             for page, url, n, digest, refers, body in zip(*(batch[c] for c in ("page_id", "url", "size", "digest", "refers_to", "payload")), strict=True):
-                held.append(page_record(page.as_py(), url.as_py(), n.as_py(), digest.as_py(), body.as_py(), refers.as_py()))
+                held.append(page_record(f"<urn:archive:{number()}:record:{len(held) + 1}>", page.as_py(), url.as_py(), n.as_py(), digest.as_py(), body.as_py(), refers.as_py()))
                 size += len(held[-1])
                 if size >= archive_bytes:
                     yield closed()
@@ -139,8 +144,7 @@ def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
     types |= {"payload": "binary"} if payload else {}
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
-    def number(urn: str | None) -> int | None:
-        text = (urn or "").removeprefix("<urn:page:").removesuffix(">")
+    def number(text: str | None) -> int | None:
         return int(text) if text else None
 
     def pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,7 +161,7 @@ def read_archives(archives: DataFrame, payload: bool = True) -> DataFrame:
                         told = int(head["x-payload-length"]), head["warc-payload-digest"].removeprefix("sha256:")
                     else:
                         continue
-                    out.append((number(head["warc-record-id"]), unquote(head["warc-target-uri"]), *told, kind, number(head.get("warc-refers-to")), body))
+                    out.append((number(head["x-page-id"]), unquote(head["warc-target-uri"]), *told, kind, number(head.get("x-refers-to-page")), body))
                     size += len(body or b"") if payload else 0
                     if size > 16 << 20:
                         yield made(out)
