@@ -4,8 +4,9 @@ Beside three base patterns, candidates in base64 or hexadecimal are decoded and
 DER key encodings whose nested lengths all add up, OpenSSH key files whose length-prefixed parts do, armoured
 blocks around either, and signed tokens whose header and claims are JSON objects.
 
-Places count code points, ends are exclusive. Defined cases: a null or empty text has no spans; spans of different kinds may
-overlap, those of one kind do not; repeated rows are scanned row by row. Columns other than doc_id and text are not read
+Places count code points, ends are exclusive. Every pattern takes time linear in the text, so very long texts are scanned whole.
+Defined cases: a null or empty text has no spans; spans of different kinds may
+overlap, those of one kind do not; repeated rows are scanned row by row; an empty table gives no rows. Columns other than doc_id and text are not read
 (``redact`` keeps all columns).
 """
 
@@ -33,7 +34,9 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: Runs are maximal, so shorter ones need not be matched and dropped.
 HEX = re.compile(r"[0-9a-f]{24,}")
 PEM = re.compile(r"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----([A-Za-z0-9+/=\s]+)-----END \1PRIVATE KEY-----")
-JWT = re.compile(r"e[wy][A-Za-z0-9_-]+\.e[wy][A-Za-z0-9_-]+(?:\.[A-Za-z0-9_-]*)?")
+#: Maximal runs of what a signed token may hold. Each is matched once and parted at its dots, so the time is linear in the text.
+TOKENS = re.compile(r"[A-Za-z0-9_.-]+")
+JSON_OPENS = ("ey", "ew")  # an opening brace, and what may follow it, in base64
 #: A DER sequence's first byte is 0x30: "M" in base64, "30" in hexadecimal. OpenSSH's magic begins with "b3Blbn".
 DER64 = re.compile(r"M[A-Za-z0-9+/_-]{39,}={0,2}")
 SSH64 = re.compile(r"b3BlbnNzaC1rZXktdjE[A-Za-z0-9+/_-]{39,}={0,2}")
@@ -130,6 +133,25 @@ def _alone(text: str, match: re.Match) -> bool:
     return not match.start() or text[match.start() - 1] not in _JOINS
 
 
+def signed_tokens(text: str) -> Iterator[tuple[int, int]]:
+    """Two or three parts between dots of which the first two decode to JSON objects."""
+    for run in TOKENS.finditer(text):
+        if run.end() - run.start() < 7 or (".ey" not in run[0] and ".ew" not in run[0]) or not _alone(text, run):
+            continue
+        parts = run[0].split(".")
+        starts = [run.start()]
+        for p in parts:
+            starts.append(starts[-1] + len(p) + 1)
+        k = 0
+        while k + 1 < len(parts):
+            if all(p.startswith(JSON_OPENS) and len(p) > 2 for p in parts[k : k + 2]) and is_signed_token(".".join(parts[k : k + 2])):
+                last = min(k + 3, len(parts))
+                yield starts[k], starts[last] - 1
+                k = last
+            else:
+                k += 1
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """(kind, start, end) by start, then kind as listed."""
     out: list[tuple[str, int, int]] = []
@@ -142,7 +164,7 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     if "PRIVATE KEY-----" in text:
         out += [("pem", m.start(), m.end()) for m in PEM.finditer(text) if is_key(_decoded(m[2]))]
     if ".ey" in text or ".ew" in text:
-        out += [("jwt", m.start(), m.end()) for m in JWT.finditer(text) if _alone(text, m) and is_signed_token(m[0])]
+        out += [("jwt", a, b) for a, b in signed_tokens(text)]
     found = [m for p in (DER64, SSH64) for m in p.finditer(text)]
     out += [("base64_key", m.start(), m.end()) for m in found if _alone(text, m) and is_key(_decoded(m[0]))]
     for m in DER16.finditer(text):
