@@ -22,6 +22,7 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op2_license_scan": license_scan.oracle_sql(),
     "op3_vector_dups": embed_dups.OP3_SQL,
+    "op5_mix_sources": mixing.OP5_SQL,
     "op7_bit_search": bit_search.OP7_SQL,
     "op8_near_duplicates": near_dups.OP8_SQL,
     "op10_warc": warc.OP10_SQL,
