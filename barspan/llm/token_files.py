@@ -4,8 +4,10 @@ A file holds a run of documents in doc_id order. Its ids, numbered within the fi
 down; each plane is the ids' bits after a stable partition by the bits above, with counts of ones per
 block. Planes are compressed one by one, so a reader takes only what it needs.
 
+Files are rows of a table in the shared folder; ``common.export`` writes them out as files of their own.
+
 Defined cases: a null text is empty; every document has at least its end id; repeated doc_ids keep all
-their rows, ordered by text; a null doc_id sorts first; an empty table gives no files. Columns other than
+their rows, ordered by a hash of the text; a null doc_id sorts first; an empty table gives no files. Columns other than
 doc_id and text are not read.
 """
 
@@ -170,11 +172,21 @@ class WaveletShard:
         return [int(d) if ok else None for d, ok in zip(docs, known, strict=True)], lengths
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id and text, dealt by ranges of doc_id and sorted within.
+
+    The hash deals rows that share a doc_id, or have none, to many tasks; the salt does so for rows that are equal, whose order is all one.
+    """
+    order = ["doc_id", "h", "salt"]
+    rows = common.texts(docs).withColumn("h", F.xxhash64("text")).withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(64)))
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+
+
 def write_shards(docs: DataFrame, path: str | None = None, shard_ids: int = SHARD_IDS) -> DataFrame:
     """Encode ``docs`` (doc_id, text) into files, in doc_id order over ``shard``; a written table, a row per file."""
     path = path or tok.vocabulary()
     common.arrow_rows(docs.sparkSession)
-    dealt = common.texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    dealt = in_order(docs)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, held, n, k = tok.encoder(path), [], 0, 0

@@ -1,6 +1,8 @@
 """Operators on documents against plain Python."""
 
+import base64
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -75,6 +77,18 @@ def test_token_files(docs, rows):
     assert order == sorted(order, key=lambda d: (d is not None, d))
 
 
+@pytest.mark.parametrize("text", ["'same text'", "cast(id as string)"])
+def test_rows_without_an_id_spread(spark, text):
+    """Neither null ids nor equal rows meet in one task."""
+    rows = spark.range(100_000).selectExpr("cast(null as long) as doc_id", f"{text} as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        counts = [r["count"] for r in token_files.in_order(rows).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(counts) == 4 and max(counts) < 40_000
+
+
 def test_token_files_of_nothing(none):
     assert token_files.read_shards(token_files.write_shards(none)).count() == 0
 
@@ -113,6 +127,26 @@ def test_packed_sequences_join_up(docs):
     assert sum(map(len, made.values())) == 4 * sum(p.length for p in pieces.collect())
 
 
+def test_packing_in_ranges(docs, rows):
+    """Cut into many ranges, with a third of the rows in one cell of the curve, the stream is still without gaps."""
+    for part_tokens in (500, 20_000):
+        pieces = packing.pack(docs.unionByName(docs).unionByName(docs), length=256, part_tokens=part_tokens).collect()
+        at = 0
+        for p in sorted(pieces, key=lambda p: (p.sequence_id, p.offset)):
+            assert p.sequence_id * 256 + p.offset == at
+            at += p.length
+        assert at == 3 * sum(len(encoded(t)) for _, t, _ in rows)
+
+
+def test_neighbours_on_the_curve_are_alike():
+    """Documents of one subject stand together more often than chance has it."""
+    rng = np.random.default_rng(2)
+    subject = rng.integers(0, 10, 600)
+    texts = [rng.choice(np.arange(k * 500, k * 500 + 200), 150).astype(np.uint32) for k in subject]
+    order = np.argsort(packing.curve_keys(np.concatenate(([0], np.cumsum([len(t) for t in texts]))), np.concatenate(texts)), kind="stable")
+    assert (subject[order][1:] == subject[order][:-1]).mean() > 0.2  # 0.1 by chance; texts of 150 words from 200 say no more of their subject
+
+
 def test_packing_nothing(none):
     assert packing.pack(none).count() == 0
 
@@ -365,6 +399,24 @@ def test_secret_digest(spark):
     assert r.base_sha256 == hashlib.sha256(",".join(kept).encode()).hexdigest()
 
 
+def test_secret_scan_is_linear():
+    """A million characters that begin a token again and again, and other unlucky texts."""
+    import time
+
+    for unlucky in ("ey" * 500_000, "ey." * 333_000, "eyA.eyA." * 125_000, "M" * 1_000_000, "30" * 500_000, "-----BEGIN PRIVATE KEY-----\n" * 37_000, "password  " * 100_000):
+        began = time.process_time()
+        secret_scan.spans(unlucky)
+        assert time.process_time() - began < 5, unlucky[:20]
+
+
+def test_tokens_in_a_run():
+    part = lambda **x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    head, claims = part(alg="HS256"), part(sub="me")
+    text = f"a {head}.{claims}.sig x.{head}.{claims} +{head}.{claims}.s {claims}.{head} {head}.{claims}.s.{head}.{claims}"
+    found = [text[a:b] for k, a, b in secret_scan.spans(text) if k == "jwt"]
+    assert found == [f"{head}.{claims}.sig", f"{head}.{claims}", f"{head}.{claims}.s", f"{head}.{claims}"]
+
+
 def test_secrets_of_nothing(none):
     assert secret_scan.find_secrets(none).count() == 0 and secret_scan.redact(none).count() == 0
 
@@ -418,6 +470,13 @@ def test_emit(docs):
     assert Counter((r.doc_id, r.source) for r in out.collect()) == +copies
 
 
+def test_many_equal_rows_are_mixed(spark):
+    rows = spark.range(100_000).selectExpr("7L as doc_id", "'one two three' as text", "'a' as source", "id")
+    out = mixing.emit(rows)
+    counts = Counter(r["count"] for r in out.groupBy("id").count().collect())
+    assert set(counts) <= {1, 2} and sum(k * n for k, n in counts.items()) in (150_000, 150_001)
+
+
 def test_mixing_nothing(none):
     assert mixing.mix(none).count() == 0 and mixing.emit(none).count() == 0
 

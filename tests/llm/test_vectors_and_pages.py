@@ -5,7 +5,7 @@ import math
 
 import numpy as np
 import pytest
-from barspan.llm import bit_search, embed_dups, warc
+from barspan.llm import bit_search, common, embed_dups, warc
 from pyspark.sql import functions as F
 
 VECTORS = "vec_id long, embedding array<float>, label int, rep long, n long, leaf long, score double, rank int"
@@ -191,10 +191,10 @@ def test_search_ties_go_to_the_smaller_id(spark):
     """Copies of a vector, dealt over blocks of many sizes, score alike and stand in order of their ids."""
     rng = np.random.default_rng(8)
     rows = [(k, rng.standard_normal(96).tolist()) for k in range(900)]
-    common = rows[0][1]
+    shared = rows[0][1]
     copies = rng.permutation(np.arange(1, 900))[:120]
     for k in copies:
-        rows[k] = (int(k), common)
+        rows[k] = (int(k), shared)
     data = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(7)
     found = bit_search.search(bit_search.index(data), data.where("vec_id % 20 = 0"), 20).collect()
     of = {}
@@ -259,6 +259,7 @@ def test_archive_format(spark):
     file = warc.write_archives(page_frame(spark, pages())).first().file
     assert file[:4] == (0x184D2A5D).to_bytes(4, "little")
     heads = [h for h, _ in warc.records(file)]
+    assert len({h["warc-record-id"] for h in heads}) == len(heads)
     assert heads[0]["warc-type"] == "warcinfo" and all(h["warc-record-id"] for h in heads)
     with pytest.raises(ValueError):
         list(warc.records(b"\x28\xb5\x2f\xfd" + file[4:]))
@@ -270,6 +271,14 @@ def test_repeated_page_ids(spark):
     assert sorted((str(r.page_id), r.record_type, r.refers_to or 0) for r in found) == [("1", "response", 0), ("1", "response", 0), ("2", "revisit", 1), ("None", "revisit", 1)]
 
 
+def test_archives_as_files(spark, tmp_path):
+    archives = warc.write_archives(page_frame(spark, pages()), 2000)
+    told = {r.path: r.bytes for r in common.export(archives, tmp_path.as_uri(), "archive", ".warc.zst").collect()}
+    assert {str(p): p.stat().st_size for p in tmp_path.iterdir()} == told and len(told) > 3
+    ids = [h["warc-record-id"] for p in tmp_path.iterdir() for h, _ in warc.records(p.read_bytes())]
+    assert len(set(ids)) == len(ids) == sum(r.n_records + 1 for r in archives.collect())
+
+
 def test_archives_of_nothing(spark):
     assert warc.read_archives(warc.write_archives(page_frame(spark, []))).count() == 0
 
@@ -278,7 +287,7 @@ def test_dictionary_pays(spark):
     """Records compressed alone with the dictionary take less than without."""
     import zstandard
 
-    rows = [warc.page_record(k, f"http://h/{k}", 300, "0" * 64, (f"<html><head><title>{k}</title></head><body>" + "<div class=item>shared layout</div>" * 8).encode(), None) for k in range(3000)]
+    rows = [warc.page_record(f"<urn:{k}>", k, f"http://h/{k}", 300, "0" * 64, (f"<html><head><title>{k}</title></head><body>" + "<div class=item>shared layout</div>" * 8).encode(), None) for k in range(3000)]
     file = warc.archive(rows)
     alone = sum(len(zstandard.ZstdCompressor(level=3).compress(r)) for r in rows)
     assert len(file) < 0.6 * alone
