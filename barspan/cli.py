@@ -15,10 +15,29 @@ from barspan.operators.universe import PointInTimeUniverse
 from barspan.sources import bar_sources, storage, synthetic
 
 
+#: What --master and --checkpoint say, if they were given.
+_CLUSTER: dict[str, str | None] = {"master": None, "checkpoint": None}
+
+
 def _spark():
+    """On this machine, unless --master or the submitting tool's own settings name a cluster."""
+    import os
+
     from barspan.session import spark_session
 
-    return spark_session(master="local[*]", **{"spark.sql.shuffle.partitions": "8"})
+    master = _CLUSTER["master"] or (None if "PYSPARK_SUBMIT_ARGS" in os.environ or "SPARK_ENV_LOADED" in os.environ else "local[*]")
+    conf = {"spark.sql.shuffle.partitions": "8"} if master and master.startswith("local") else {}
+    if _CLUSTER["checkpoint"]:
+        conf["spark.checkpoint.dir"] = _CLUSTER["checkpoint"]
+    return spark_session(master=master, **conf)
+
+
+def _download(name: str):
+    """The function that ``module:function`` names: (ticker, start, end) to a DataFrame in vendor columns, or None."""
+    import importlib
+
+    module, _, function = name.partition(":")
+    return getattr(importlib.import_module(module), function)
 
 
 def _version(_) -> int:
@@ -39,7 +58,10 @@ def _ingest(ns) -> int:
         if not ns.tickers:
             print("error: --tickers is required for a vendor source")
             return 2
-        source = bar_sources.VendorSource(ns.tickers.split(","), ns.start, ns.end)
+        if not ns.download:
+            print("error: --download module:function must say how bars are fetched; nothing is built in")
+            return 2
+        source = bar_sources.VendorSource(ns.tickers.split(","), ns.start, ns.end, download=_download(ns.download))
     elif ns.source == "synthetic":
         source = bar_sources.SyntheticSource(_spark(), ns.n, n_pairs=ns.pairs, n_noise=ns.noise, seed=ns.seed)
     else:
@@ -169,6 +191,8 @@ def _sensitivity(ns) -> int:
 
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="barspan")
+    top.add_argument("--master", default=None)
+    top.add_argument("--checkpoint", default=None, help="a folder that driver and executors share")
     commands = top.add_subparsers(required=True)
 
     def command(name: str, run, *options):
@@ -188,7 +212,7 @@ def parser() -> argparse.ArgumentParser:
 
     command("version", _version)
     command("gen-synth", _gen_synth, ("--out", "data/synthetic/panel.parquet"), *made)
-    command("ingest", _ingest, ("--source", "synthetic", {"choices": ["synthetic", "yfinance", "parquet", "csv", "json", "orc"]}), ("--out", "data/bars"), ("--path", None), ("--tickers", None), ("--start", "2015-01-01"), ("--end", None), *made)
+    command("ingest", _ingest, ("--source", "synthetic", {"choices": ["synthetic", "yfinance", "parquet", "csv", "json", "orc"]}), ("--out", "data/bars"), ("--path", None), ("--tickers", None), ("--download", None), ("--start", "2015-01-01"), ("--end", None), *made)
     command("research", _research, data, *limits(0.7, 0.05), ("--max-half-life", 252.0), ("--top", 20))
     command("backtest", _backtest, data, ("--cash", 1_000_000.0), ("--notional", 500_000.0), ("--max-names", 5))
     command("backtest-pair", _backtest_pair, data, *pair, *limits(0.7, 0.05), ("--cash", 1_000_000.0), ("--notional", 200_000.0), ("--entry", 2.0), ("--exit", 0.5), ("--stop", 4.0), ("--delta", 1e-6), ("--report", None))
@@ -199,6 +223,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> int:
     ns = parser().parse_args(argv)
+    _CLUSTER.update(master=ns.master, checkpoint=ns.checkpoint)
     return ns.func(ns)
 
 

@@ -19,12 +19,50 @@ MACKINNON = {
     2: (0.92, -18.86, -2.62, (2.92, 1.5012, 0.039796), (2.1945, 0.64695, -0.29198, -0.042377)),
 }
 #: Critical values of the trace test with constant at 90, 95 and 99 percent, by number of common trends left.
+#: Critical trace statistics (10 %, 5 %, 1 %) by deterministic order (-1 none, 0 constant, 1 trend), for 1, 2, ... 12 series.
 TRACE_CRITICAL = {
-    1: (2.7055, 3.8415, 6.6349),
-    2: (13.4294, 15.4943, 19.9349),
-    3: (27.0669, 29.7961, 35.4628),
-    4: (44.4929, 47.8545, 54.6815),
-    5: (65.8202, 69.8189, 77.8202),
+    -1: (
+        (2.9762, 4.1296, 6.9406),
+        (10.4741, 12.3212, 16.3640),
+        (21.7781, 24.2761, 29.5147),
+        (37.0339, 40.1749, 46.5716),
+        (56.2839, 60.0627, 67.6367),
+        (79.5329, 83.9383, 92.7136),
+        (106.7351, 111.7797, 121.7375),
+        (137.9954, 143.6691, 154.7977),
+        (173.2292, 179.5199, 191.8122),
+        (212.4721, 219.4051, 232.8291),
+        (255.6732, 263.2603, 277.9962),
+        (302.9054, 311.1288, 326.9716),
+    ),
+    0: (
+        (2.7055, 3.8415, 6.6349),
+        (13.4294, 15.4943, 19.9349),
+        (27.0669, 29.7961, 35.4628),
+        (44.4929, 47.8545, 54.6815),
+        (65.8202, 69.8189, 77.8202),
+        (91.1090, 95.7542, 104.9637),
+        (120.3673, 125.6185, 135.9825),
+        (153.6341, 159.5290, 171.0905),
+        (190.8714, 197.3772, 210.0366),
+        (232.1030, 239.2468, 253.2526),
+        (277.3740, 285.1402, 300.2821),
+        (326.5354, 334.9795, 351.2150),
+    ),
+    1: (
+        (2.7055, 3.8415, 6.6349),
+        (16.1619, 18.3985, 23.1485),
+        (32.0645, 35.0116, 41.0815),
+        (51.6492, 55.2459, 62.5202),
+        (75.1027, 79.3422, 87.7748),
+        (102.4674, 107.3429, 116.9829),
+        (133.7852, 139.2780, 150.0778),
+        (169.0618, 175.1584, 187.1891),
+        (208.3582, 215.1268, 228.2226),
+        (251.6293, 259.0267, 273.3838),
+        (298.8836, 306.8988, 322.4264),
+        (350.1125, 358.7190, 375.3203),
+    ),
 }
 LEVELS = (0.10, 0.05, 0.01)
 
@@ -124,25 +162,35 @@ class Johansen:
         return self.eigenvectors[:, 0] / self.eigenvectors[0, 0]
 
 
-def johansen(prices, *, level: float = 0.05, k_ar_diff: int = 1) -> Johansen:
-    """Trace test with constant. All statistics above their critical value count, wherever they stand."""
+def _without_trend(data: np.ndarray, order: int) -> np.ndarray:
+    """What a polynomial of this order in time leaves; the data themselves for an order of -1."""
+    if order < 0:
+        return data
+    powers = np.vander(np.arange(len(data)) / max(1, len(data) - 1), order + 1)
+    return data - powers @ np.linalg.lstsq(powers, data, rcond=None)[0]
+
+
+def johansen(prices, *, level: float = 0.05, k_ar_diff: int = 1, det_order: int = 0) -> Johansen:
+    """Trace test without (-1), with a constant (0) or with a trend (1). All statistics above their critical value count, wherever they stand."""
     data = np.asarray(prices, float)
     if level not in LEVELS:
         raise ValueError(f"level must be one of {LEVELS}")
     if data.ndim != 2 or data.shape[1] < 2:
         raise ValueError("at least two series are needed")
-    if data.shape[1] > max(TRACE_CRITICAL):
-        raise ValueError(f"critical values are known for up to {max(TRACE_CRITICAL)} series")
+    if det_order not in TRACE_CRITICAL:
+        raise ValueError(f"det_order must be one of {tuple(TRACE_CRITICAL)}")
+    if data.shape[1] > len(TRACE_CRITICAL[det_order]):
+        raise ValueError(f"critical values are known for up to {len(TRACE_CRITICAL[det_order])} series")
     if np.isnan(data).any():
         raise ValueError("missing values")
     k, lags = data.shape[1], k_ar_diff
-    data = data - data.mean(axis=0)
+    data = _without_trend(data, det_order)
     moves = np.diff(data, axis=0)
     now = moves[lags:]
     past = np.concatenate([moves[lags - j : len(moves) - j] for j in range(1, lags + 1)], axis=1) if lags else np.zeros((len(now), 0))
     # With differences on the right, the levels stand as far back as the first of them.
     levels = data[1 : len(data) - lags]
-    now, past, levels = (m - m.mean(axis=0) for m in (now, past, levels[: len(now)]))
+    now, past, levels = (_without_trend(m, min(det_order, 0)) for m in (now, past, levels[: len(now)]))
 
     def partial(m: np.ndarray) -> np.ndarray:
         return m - past @ np.linalg.lstsq(past, m, rcond=None)[0] if past.shape[1] else m
@@ -155,5 +203,5 @@ def johansen(prices, *, level: float = 0.05, k_ar_diff: int = 1) -> Johansen:
     values, vectors = values.real[order], vectors.real[:, order]
     vectors = vectors / np.sqrt(np.einsum("ij,ik,kj->j", vectors, skk, vectors))
     trace = np.array([-n * np.log(1 - values[i:]).sum() for i in range(k)])
-    critical = np.array([TRACE_CRITICAL[k - i][LEVELS.index(level)] for i in range(k)])
+    critical = np.array([TRACE_CRITICAL[det_order][k - i - 1][LEVELS.index(level)] for i in range(k)])
     return Johansen(int((trace > critical).sum()), trace, critical, vectors)

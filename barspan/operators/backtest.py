@@ -249,11 +249,6 @@ def run_buy_and_hold(universe: PointInTimeUniverse, tickers: list[str], notional
 # Strategies as objects, day by day. For rules that cannot be written as a plan: a bounded universe is read to the driver once.
 
 
-@dataclass(frozen=True)
-class MarketEvent:
-    date: object
-
-
 @dataclass(frozen=True)
 class Order:
     ticker: str
@@ -439,25 +434,40 @@ class LoopResult:
         return BacktestResult(equity, fills, self.initial_cash)
 
 
+class NextOpen:
+    """Fills an order at the day's adjusted open, for what the cost model says of that day; without an open the order is lost."""
+
+    def __init__(self, costs: CostModel | None = None):
+        self.costs = costs or CostModel()
+
+    def fill(self, date, order: Order, universe: Snapshot) -> Fill | None:
+        price = universe.open_price(date, order.ticker)
+        if not order.quantity or price is None:
+            return None
+        row = universe.last_row(order.ticker, date)
+        return Fill(date, order.ticker, order.quantity, price, self.costs.cost(order.quantity, price, row.vol, row.adv))
+
+
 class LoopEngine:
-    """Each day: fill what was ordered the day before, mark, then let the strategy decide."""
+    """Each day: fill what was ordered the day before, mark, then let the strategy decide.
+
+    ``simulator`` decides how an order is filled: any object with ``fill(date, order, universe)`` that gives a Fill or None.
+    """
 
-    def __init__(self, universe: PointInTimeUniverse | Snapshot, strategy, portfolio: Portfolio, costs: CostModel | None = None):
+    def __init__(self, universe: PointInTimeUniverse | Snapshot, strategy, portfolio: Portfolio, costs: CostModel | None = None, *, simulator=None):
+        if costs is not None and simulator is not None:
+            raise ValueError("costs are the simulator's: give one of the two")
         self.universe = universe if isinstance(universe, Snapshot) else Snapshot(universe)
-        self.strategy, self.portfolio, self.costs = strategy, portfolio, costs or CostModel()
+        self.strategy, self.portfolio, self.simulator = strategy, portfolio, simulator or NextOpen(costs)
 
     def run(self, start=None, end=None) -> LoopResult:
         u, fills, pending = self.universe, [], []
         for date in u.dates:
             if (start is not None and date < start) or (end is not None and date > end):
                 continue
-            for order in pending:
-                price = u.open_price(date, order.ticker)
-                if order.quantity and price is not None:
-                    row = u.last_row(order.ticker, date)
-                    fill = Fill(date, order.ticker, order.quantity, price, self.costs.cost(order.quantity, price, row.vol, row.adv))
-                    self.portfolio.apply_fill(fill)
-                    fills.append(fill)
+            done = [f for f in (self.simulator.fill(date, order, u) for order in pending) if f is not None]
+            self.portfolio.apply_fills(done)
+            fills += done
             self.portfolio.mark(date, u.close_row(date))
             pending = self.strategy.on_bar(date, u)
         p = self.portfolio

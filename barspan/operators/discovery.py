@@ -82,14 +82,14 @@ def discover_pairs(prices: DataFrame, **settings) -> list[PairCandidate]:
     return [PairCandidate(r.y, r.x, r.beta, r.correlation, r.pvalue, r.half_life) for r in rows]
 
 
-def johansen_test(prices: DataFrame, tickers: list[str], *, level: float = 0.05, k_ar_diff: int = 1) -> DataFrame:
+def johansen_test(prices: DataFrame, tickers: list[str], *, level: float = 0.05, k_ar_diff: int = 1, det_order: int = 0) -> DataFrame:
     """rank, trace, critical and hedge of the tickers' log prices on their common dates: one row, made in one task."""
     rows = prices.where(F.col("ticker").isin(tickers)).groupBy("date").pivot("ticker", tickers).agg(F.first("px")).dropna()
     rows = rows.select("date", *(F.ln(f"`{t}`").alias(f"v{k}") for k, t in enumerate(tickers)), F.lit(1).alias("g"))
 
     def test(table: pa.Table) -> pa.Table:
         table = table.sort_by("date")
-        found = unit_root.johansen(np.stack([table[f"v{k}"].to_numpy() for k in range(len(tickers))], axis=1), level=level, k_ar_diff=k_ar_diff)
+        found = unit_root.johansen(np.stack([table[f"v{k}"].to_numpy() for k in range(len(tickers))], axis=1), level=level, k_ar_diff=k_ar_diff, det_order=det_order)
         return pa.table({"rank": pa.array([found.rank], pa.int32()), "trace": [found.trace_stats.tolist()], "critical": [found.crit_values.tolist()], "hedge": [found.hedge_ratios.tolist()]})
 
     return rows.groupBy("g").applyInArrow(test, "rank int, trace array<double>, critical array<double>, hedge array<double>")

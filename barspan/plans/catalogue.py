@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barspan import tables
 from barspan.functions import distributions
 from barspan.operators import backtest, discovery, panel, quality_rules, signals, walkforward
 from barspan.plans import fixture
+from barspan.sources import bar_sources, schema, synthetic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -115,9 +117,88 @@ def validate_errors(spark, sf):
     return quality_rules.issues(fixture.dirty_bars(spark, sf)).where("severity = 'error'").select("ticker", "code")
 
 
+@query(_ORDERED + """, g AS (SELECT ticker, COUNT(*) FILTER (WHERE EXTRACT(EPOCH FROM date) - EXTRACT(EPOCH FROM pd) >= 6 * 86400) AS gaps, COUNT(*) FILTER (WHERE ABS((adj_close - pa) / pa) > 0.4) AS jumps FROM o GROUP BY ticker)
+  SELECT ticker, 'calendar_gap' AS code FROM g WHERE gaps > 0 UNION ALL SELECT ticker, 'possible_corporate_action' FROM g WHERE jumps > 0""", dirty=True)
+def validate_warnings(spark, sf):
+    found = quality_rules.validate_bars(fixture.dirty_bars(spark, sf)).warnings
+    return spark.createDataFrame([(i.ticker, i.code) for i in found], "ticker string, code string")
+
+
+# Sources.
+
+
+def _vendor(spark, sf) -> DataFrame:
+    """The bars under a vendor's column names, some without a close, and a column more."""
+    bars = fixture.derived_bars(spark, sf)
+    close = F.when(F.dayofmonth("date") != 13, F.col("close"))
+    return bars.select(F.col("date").alias("Date"), F.col("ticker").alias("Symbol"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), close.alias("Close"), F.col("volume").alias("Volume"), F.lit("x").alias("Exchange"))
+
+
+_VENDOR_SQL = " SELECT date, ticker, open, high, low, close, close AS adj_close, volume FROM bars WHERE EXTRACT(DAY FROM date) <> 13"
+
+
+@query(_VENDOR_SQL)
+def vendor_columns(spark, sf):
+    """Vendor names to ours; a missing adjusted close is the close."""
+    return schema.rename_vendor(_vendor(spark, sf))
+
+
+@query(_VENDOR_SQL)
+def file_source(spark, sf):
+    """Bars in vendor columns written as files and fetched through a source."""
+    path = tables.new_folder(spark, "vendor")
+    _vendor(spark, sf).write.parquet(path)
+    return bar_sources.FileSource(spark, path).fetch()
+
+
+@query(_VENDOR_SQL + " AND ticker IN ('AF', 'RO')")
+def vendor_source(spark, sf):
+    """Bars that a download function gives ticker by ticker."""
+    rows = _vendor(spark, sf)
+    return bar_sources.VendorSource(["AF", "RO"], "1990-01-01", download=lambda ticker, start, end: rows.where(F.col("Symbol") == ticker).drop("Symbol")).fetch()
+
+
+@query(" SELECT * FROM (VALUES ('bars', true), ('no volume', false), ('text for a price', false), ('text for a date', false), ('a column more', true)) v(case_name, fine)")
+def schema_check(spark, sf):
+    """Which tables are bar tables."""
+    bars = fixture.derived_bars(spark, sf)
+    cases = {"bars": bars, "no volume": bars.drop("volume"), "text for a price": bars.withColumn("open", F.lit("x")), "text for a date": bars.withColumn("date", F.lit("x")), "a column more": bars.withColumn("more", F.lit(1))}
+
+    def fine(table: DataFrame) -> bool:
+        try:
+            schema.validate_schema(table)
+        except schema.SchemaError:
+            return False
+        return True
+
+    return spark.createDataFrame([(name, fine(t)) for name, t in cases.items()], "case_name string, fine boolean")
+
+
+@query(" SELECT CAST(d AS TIMESTAMP) AS date FROM generate_series(TIMESTAMP '2015-01-01 00:00:00', TIMESTAMP '2025-01-01 00:00:00', INTERVAL 1 DAY) g(d) WHERE EXTRACT(ISODOW FROM d) < 6 ORDER BY d LIMIT 1000")
+def business_days(spark, sf):
+    return spark.createDataFrame([(d,) for d in synthetic.business_days(1000, "2015-01-01")], "date timestamp_ntz")
+
+
 # Point-in-time reads.
 
 
+@query(" SELECT DISTINCT ticker FROM bars")
+def universe_tickers(spark, sf):
+    return spark.createDataFrame([(t,) for t in fixture.universe(spark, sf).tickers()], "ticker string")
+
+
+@query(f""", lp AS (SELECT ticker, ARG_MAX(adj_close, date) AS px, ARG_MAX(CASE WHEN date = TIMESTAMP '{DAY} 00:00:00' THEN open * adj_close / close END, date) AS adj_open FROM bars WHERE date <= TIMESTAMP '{DAY} 00:00:00' GROUP BY ticker),
+  lk AS (SELECT ticker, volume, LN(adj_close) - LAG(LN(adj_close)) OVER (PARTITION BY ticker ORDER BY date) AS rr, ROW_NUMBER() OVER (PARTITION BY ticker ORDER BY date DESC) AS k FROM bars WHERE date <= TIMESTAMP '{DAY} 00:00:00'),
+  ft AS (SELECT ticker, AVG(volume) AS adv, STDDEV_POP(rr) AS vol FROM lk WHERE k <= 20 GROUP BY ticker)
+  SELECT lp.ticker, ROUND(px, 8) AS px, ROUND(adj_open, 8) AS adj_open, ROUND(adv, 4) AS adv, ROUND(vol, 8) AS vol FROM lp JOIN ft ON ft.ticker = lp.ticker WHERE lp.ticker IN ('AF', 'RO')""")
+def single_reads(spark, sf):
+    """The reads of one ticker at one time, each through its own method."""
+    u = fixture.universe(spark, sf)
+    rows = [(t, u.price_as_of(DAY, t), u.open_price(DAY, t), u.volume_as_of(DAY, t), u.volatility_as_of(DAY, t)) for t in ("AF", "RO")]
+    return spark.createDataFrame(rows, "ticker string, px double, adj_open double, adv double, vol double").select("ticker", r("px"), r("adj_open"), r("adv", 4), r("vol"))
+
+
+
 @query(" SELECT ticker, MIN(date) AS first_date, MAX(date) AS last_date FROM bars GROUP BY ticker")
 def membership(spark, sf):
     return fixture.universe(spark, sf).membership.intervals
@@ -298,9 +379,36 @@ def engle_granger(spark, sf):
     return discovery.discover(prices, min_correlation=0.05, max_pvalue=1.0, min_half_life=0.0, max_half_life=1e9).select("y", "x", r("stat", 6), r("pvalue", 6))
 
 
-@query()
+def _johansen_sql() -> str:
+    """Two series by determinants: the statistics are those of a 2 x 2 matrix, the product of two inverses and two covariances."""
+    cols = ("d0", "d1", "p0", "p1", "k0", "k1")
+    cov = {tuple(sorted((a, b))): f"COVAR_POP({a}, {b}) AS {''.join(sorted((a, b)))}" for a in cols for b in cols}
+    c = lambda a, b: "".join(sorted((a, b)))
+    det = f"({c('p0', 'p0')} * {c('p1', 'p1')} - {c('p0', 'p1')} ** 2)"
+    # What the past move explains goes: S_ab - S_ap * inverse(S_pp) * S_pb.
+    part = lambda a, b: f"{c(a, b)} - ({c(a, 'p0')} * ({c('p1', 'p1')} * {c('p0', b)} - {c('p0', 'p1')} * {c('p1', b)}) + {c(a, 'p1')} * ({c('p0', 'p0')} * {c('p1', b)} - {c('p0', 'p1')} * {c('p0', b)})) / {det}"
+    names = (("d0", "d0"), ("d0", "d1"), ("d1", "d1"), ("k0", "k0"), ("k0", "k1"), ("k1", "k1"), ("d0", "k0"), ("d0", "k1"), ("d1", "k0"), ("d1", "k1"))
+    left = ", ".join(f"{part(a, b)} AS r{a}{b}" for a, b in names)
+    # Rows of inverse(S00) * S0k, then of inverse(Skk) * Sk0 * that.
+    inner = ", ".join(f"(rd1d1 * rd0k{j} - rd0d1 * rd1k{j}) / d00 AS u0{j}, (rd0d0 * rd1k{j} - rd0d1 * rd0k{j}) / d00 AS u1{j}" for j in (0, 1))
+    outer = ", ".join(f"rd0k{i} * u0{j} + rd1k{i} * u1{j} AS v{i}{j}" for i in (0, 1) for j in (0, 1))
+    last = ", ".join(f"(rk1k1 * v0{j} - rk0k1 * v1{j}) / dkk AS m0{j}, (rk0k0 * v1{j} - rk0k1 * v0{j}) / dkk AS m1{j}" for j in (0, 1))
+    return f""", a AS (SELECT x.date, LN(x.adj_close) AS l0, LN(y.adj_close) AS l1 FROM bars x JOIN bars y ON y.date = x.date AND y.ticker = 'AO' WHERE x.ticker = 'AF'),
+b AS (SELECT date, l0 - LAG(l0) OVER w AS d0, l1 - LAG(l1) OVER w AS d1, LAG(l0) OVER w AS k0, LAG(l1) OVER w AS k1 FROM a WINDOW w AS (ORDER BY date)),
+c AS (SELECT d0, d1, LAG(d0) OVER w AS p0, LAG(d1) OVER w AS p1, k0, k1 FROM b WINDOW w AS (ORDER BY date)),
+s AS (SELECT COUNT(*) AS n, {', '.join(cov.values())} FROM c WHERE p0 IS NOT NULL),
+r AS (SELECT n, {left} FROM s),
+i AS (SELECT *, rd0d0 * rd1d1 - rd0d1 ** 2 AS d00, rk0k0 * rk1k1 - rk0k1 ** 2 AS dkk FROM r),
+ju AS (SELECT *, {inner} FROM i), jv AS (SELECT *, {outer} FROM ju), m AS (SELECT n, {last} FROM jv),
+e AS (SELECT *, (m00 + m11 + SQRT((m00 - m11) ** 2 + 4 * m01 * m10)) / 2 AS e0, (m00 + m11 - SQRT((m00 - m11) ** 2 + 4 * m01 * m10)) / 2 AS e1 FROM m),
+t AS (SELECT *, -n * (LN(1 - e0) + LN(1 - e1)) AS t0, -n * LN(1 - e1) AS t1 FROM e)
+SELECT CAST((CASE WHEN t0 > 15.4943 THEN 1 ELSE 0 END) + (CASE WHEN t1 > 3.8415 THEN 1 ELSE 0 END) AS INTEGER) AS rank, ROUND(t0, 4) AS trace_0, ROUND(t1, 4) AS trace_1, ROUND((e0 - m00) / m01, 5) AS hedge FROM t"""
+
+
+@query(_johansen_sql())
 def johansen(spark, sf):
-    return discovery.johansen_test(panel.price_panel(fixture.derived_bars(spark, sf)), ["AF", "AO"])
+    found = discovery.johansen_test(panel.price_panel(fixture.derived_bars(spark, sf)), ["AF", "AO"])
+    return found.select("rank", r("trace_0", 4, F.col("trace")[0]), r("trace_1", 4, F.col("trace")[1]), r("hedge", 5, F.col("hedge")[1]))
 
 
 @query()
@@ -436,12 +544,24 @@ def pairs_equity(spark, sf):
     return backtest.run_pairs(fixture.universe(spark, sf), _pair_runs(spark)).equity.select("run", "date", r("equity", 3))
 
 
-@query()
+_FIRST = _pair_sql([(0, *PAIRS[0], *TRADE.values(), 1e-6)])
+
+
+def _loop(spark, sf):
+    strategy = backtest.PairsStrategy(*PAIRS[0], 200_000.0, params=signals.SignalParams(**TRADE))
+    return backtest.LoopEngine(fixture.universe(spark, sf), strategy, backtest.Portfolio(1_000_000.0), simulator=backtest.NextOpen()).run().frames(spark)
+
+
+@query(_FIRST + " SELECT date, ticker, ROUND(quantity, 5) AS quantity, ROUND(price, 6) AS price, ROUND(cost, 5) AS cost FROM fl")
 def pairs_loop(spark, sf):
     """The first pair day by day: the same fills as the plan's."""
-    strategy = backtest.PairsStrategy("AO", "AF", 200_000.0, params=signals.SignalParams(**TRADE))
-    done = backtest.LoopEngine(fixture.universe(spark, sf), strategy, backtest.Portfolio(1_000_000.0)).run()
-    return done.frames(spark).fills.select("date", "ticker", r("quantity", 6), r("price", 6), r("cost", 6))
+    return _loop(spark, sf).fills.select("date", "ticker", r("quantity", 5), r("price", 6), r("cost", 5))
+
+
+@query(_FIRST + " SELECT date, ROUND(equity, 3) AS equity FROM eq")
+def pairs_loop_equity(spark, sf):
+    """What the portfolio of the day-by-day engine is worth on each day."""
+    return _loop(spark, sf).equity.select("date", r("equity", 3))
 
 
 @query(""", n AS (SELECT date, ROW_NUMBER() OVER (ORDER BY date) AS n FROM (SELECT DISTINCT date FROM bars) d), c AS (SELECT MAX(n) AS c FROM n)
@@ -464,7 +584,34 @@ def sensitivity_grid(spark, sf):
     return cells.select("run", "entry", "delta", r("metric", 5))
 
 
-@query()
+def _phi(x: str) -> str:
+    """The normal distribution function by its series of odd powers over odd double factorials."""
+    return f"CASE WHEN {x} > 8 THEN 1.0 WHEN {x} < -8 THEN 0.0 ELSE 0.5 + EXP(-(({x}) * ({x})) / 2) / SQRT(2 * PI()) * SIGN({x}) * list_sum(list_transform(range(0, 200), lambda k: EXP((2 * k + 1) * LN(GREATEST(ABS({x}), 1e-300)) + LN(PI()) / 2 - (k + 1) * LN(2) - LGAMMA(k + 1.5)))) END"
+
+
+_MOMENTS = "COUNT(ret) AS n, AVG(ret) AS mu, STDDEV_SAMP(ret) AS sd"
+#: Normal quantiles of 1 - 1/6 and 1 - 1/(6 e), for the six cells of the grid.
+_QUANTILES = (0.9674215661017014, 1.543842550450144)
+
+
+@query(_RETURNS + f""", m AS (SELECT ticker, {_MOMENTS} FROM ret WHERE ret IS NOT NULL GROUP BY ticker),
+c AS (SELECT m.ticker, m.n, m.mu / m.sd AS sr, AVG((ret - mu) ** 3) / AVG((ret - mu) ** 2) ** 1.5 AS skew, AVG((ret - mu) ** 4) / AVG((ret - mu) ** 2) ** 2 AS kurt FROM ret JOIN m ON m.ticker = ret.ticker WHERE ret IS NOT NULL GROUP BY m.ticker, m.n, m.mu, m.sd),
+z AS (SELECT ticker, sr * SQRT(n - 1) / SQRT(1 - skew * sr + (kurt - 1) / 4 * sr ** 2) AS z FROM c)
+SELECT ticker, ROUND({_phi('z')}, 7) AS psr FROM z""")
+def probabilistic_sharpe(spark, sf):
+    """Chance that each ticker's true ratio of daily returns is above zero: one row of moments a ticker."""
+    returns = panel.log_returns(panel.price_panel(fixture.derived_bars(spark, sf))).where("ret is not null")
+    moments = returns.groupBy("ticker").agg(F.count("ret").alias("n"), (F.avg("ret") / F.stddev_samp("ret")).alias("sr"), F.skewness("ret").alias("skew"), (F.kurtosis("ret") + 3).alias("kurt"))
+    found = [(m.ticker, round(distributions.probabilistic_sharpe_ratio(m.sr, 0.0, m.n, skew=m.skew, kurtosis=m.kurt), 7)) for m in moments.collect()]
+    return spark.createDataFrame(found, "ticker string, psr double")
+
+
+@query(_CELLS + f""", rt AS (SELECT run, date, equity / LAG(equity) OVER (PARTITION BY run ORDER BY date) - 1 AS ret FROM eq),
+m AS (SELECT run, {_MOMENTS}, COALESCE(AVG(ret) / NULLIF(STDDEV_SAMP(ret), 0), 0) AS sr FROM rt WHERE ret IS NOT NULL GROUP BY run),
+l AS (SELECT STDDEV_SAMP(sr) * ((1 - 0.5772156649015329) * {_QUANTILES[0]}::DOUBLE + 0.5772156649015329 * {_QUANTILES[1]}::DOUBLE) AS luck, MAX(sr) AS best, COUNT(*) AS trials FROM m),
+c AS (SELECT m.n, AVG((ret - mu) ** 3) / AVG((ret - mu) ** 2) ** 1.5 AS skew, AVG((ret - mu) ** 4) / AVG((ret - mu) ** 2) ** 2 AS kurt FROM rt JOIN m ON m.run = rt.run JOIN l ON l.best = m.sr WHERE ret IS NOT NULL GROUP BY m.n),
+z AS (SELECT *, (best - luck) * SQRT(n - 1) / SQRT(1 - skew * best + (kurt - 1) / 4 * best ** 2) AS z FROM c, l)
+SELECT ROUND({_phi('z')}, 6) AS dsr, ROUND(luck, 8) AS sr_0, ROUND(best, 8) AS best_sharpe, CAST(trials AS INTEGER) AS n_trials FROM z""")
 def deflated_sharpe(spark, sf):
     """The best cell of a grid of per-period ratios, held against luck."""
     cells, result = walkforward.pair_grid(fixture.universe(spark, sf), "AO", "AF", GRID)
@@ -472,7 +619,7 @@ def deflated_sharpe(spark, sf):
     best = max(rows, key=lambda c: c.metric)
     returns = [x.ret for x in result.returns().where(F.col("run") == best.run).orderBy("date").collect()]
     found = distributions.deflated_sharpe_ratio([c.metric / distributions.DAYS**0.5 for c in rows], returns)
-    return spark.createDataFrame([(found.dsr, found.sr_0, found.best_sharpe, found.n_trials)], "dsr double, sr_0 double, best_sharpe double, n_trials int")
+    return spark.createDataFrame([(round(found.dsr, 6), round(found.sr_0, 8), round(found.best_sharpe, 8), found.n_trials)], "dsr double, sr_0 double, best_sharpe double, n_trials int")
 
 
 @query()

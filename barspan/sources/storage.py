@@ -22,13 +22,13 @@ def _exists(spark: SparkSession, root: str) -> bool:
 
 
 def read_bars(spark: SparkSession, root: str, tickers: list[str] | None = None) -> DataFrame:
-    """Canonical bars by ticker and date. The schema is given, so that tickers like 007 stay text; ``tickers`` prunes partitions."""
+    """Canonical bars, in no order: sort where an order shows. The schema is given, so that tickers like 007 stay text; ``tickers`` prunes partitions."""
     if not _exists(spark, root):
         raise FileNotFoundError(root)
     bars = spark.read.schema(schema.BAR_SCHEMA).parquet(str(root))
     if tickers is not None:
         bars = bars.where(F.col("ticker").isin(list(tickers)))
-    return bars.select(*schema.BAR_COLUMNS).orderBy("ticker", "date")
+    return bars.select(*schema.BAR_COLUMNS)
 
 
 def write_panel(panel: DataFrame, out: str) -> str:
