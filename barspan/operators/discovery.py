@@ -16,6 +16,8 @@ from barspan.tables import kept
 
 #: Dates that both tickers of a pair must share.
 MIN_OVERLAP = 60
+#: Tickers of a block whose series meet those of another block in one task.
+BLOCK = 64
 
 
 @dataclass(frozen=True)
@@ -31,12 +33,16 @@ class PairCandidate:
         return f"{self.y}~{self.x} beta={self.beta:.3f} corr={self.correlation:.2f} p={self.pvalue:.4f} hl={self.half_life:.1f}"
 
 
-def pair_statistics(returns: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
-    """keys, x, y (x before y), overlap, correlation of returns, and the regression of log prices: one aggregate over a join by date.
+def pair_statistics(returns: DataFrame, keys: tuple[str, ...] = (), block: int = BLOCK) -> DataFrame:
+    """keys, x, y (x before y), overlap, correlation of returns, and the regression of log prices.
 
-    ``returns`` is the output of ``log_returns``. Every pair of tickers is asked for, so the work is dates times pairs; it is dealt
-    by date and pre-aggregated there.
+    ``returns`` is the output of ``log_returns``. Up to ``block`` tickers, it is one aggregate over a join by date, dealt by date and
+    pre-aggregated there: dates times pairs of rows. More tickers are dealt into blocks, and each pair of blocks is one product of
+    matrices of dates by tickers, so that a bar goes once to each block, and what leaves are pairs.
     """
+    tickers = returns.agg(F.count_distinct("ticker")).first()[0]
+    if tickers > block:
+        return _in_blocks(returns, keys, -(-tickers // block))
     fields = [*keys, "date", "ticker", "lpx", "ret"]
     a, b = returns.select(*fields).alias("a"), returns.select(*fields).alias("b")
     same = F.col("a.date") == F.col("b.date")
@@ -51,6 +57,53 @@ def pair_statistics(returns: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
     return both.groupBy(*keys, "x", "y").agg(F.count("*").alias("overlap"), corr.alias("correlation"), F.regr_slope("ly", "lx").alias("beta"), F.regr_intercept("ly", "lx").alias("alpha"))
 
 
+def _moments(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Over the dates that both have: count, means of either, their variances, and the covariance, for each column of ``a`` with each of ``b``."""
+    has_a, has_b = ~np.isnan(a) * 1.0, ~np.isnan(b) * 1.0
+    # Centred by each column's own mean first, so that little is lost in the sums of squares.
+    centre_a, centre_b = (np.nan_to_num(m).sum(axis=0) / np.maximum(has.sum(axis=0), 1) for m, has in ((a, has_a), (b, has_b)))
+    a0, b0 = np.nan_to_num(a - centre_a), np.nan_to_num(b - centre_b)
+    n = has_a.T @ has_b
+    with np.errstate(divide="ignore", invalid="ignore"):
+        mean_a, mean_b = a0.T @ has_b / n, has_a.T @ b0 / n
+        var_a, var_b = (a0**2).T @ has_b / n - mean_a**2, has_a.T @ b0**2 / n - mean_b**2
+        return n, mean_a + centre_a[:, None], mean_b + centre_b[None, :], var_a, var_b, a0.T @ b0 / n - mean_a * mean_b
+
+
+def _in_blocks(returns: DataFrame, keys: tuple[str, ...], blocks: int) -> DataFrame:
+    own = F.pmod(F.xxhash64("ticker"), F.lit(blocks)).cast("int")
+    rows = returns.where("lpx is not null").select(*keys, "date", "ticker", "lpx", "ret", own.alias("own"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other"))
+    rows = rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        _, day = np.unique(table["date"].cast(pa.timestamp("us")).to_numpy(), return_inverse=True)
+        names, column = np.unique(table["ticker"].to_numpy(zero_copy_only=False).astype(str), return_inverse=True)
+        price, ret = (np.full((day.max() + 1, len(names)), np.nan) for _ in range(2))
+        price[day, column], ret[day, column] = (table[c].to_numpy().astype(float) for c in ("lpx", "ret"))
+        side = np.zeros(len(names), np.int64)
+        side[column] = table["own"].to_numpy()
+        left, right = np.flatnonzero(side == i), np.flatnonzero(side == j)
+        n, mean_x, mean_y, var_l, var_r, cov = _moments(price[:, left], price[:, right])
+        _, _, _, rvar_x, rvar_y, rcov = _moments(ret[:, left], ret[:, right])
+        # Names are sorted, so a lesser place is a lesser name; of two blocks either ticker may be the lesser.
+        a, b = np.nonzero((n > 0) & ((left[:, None] < right[None, :]) if i == j else True))
+        x_first = left[a] < right[b]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            corr = rcov[a, b] / np.sqrt(rvar_x[a, b] * rvar_y[a, b])
+            beta = cov[a, b] / np.where(x_first, var_l[a, b], var_r[a, b])
+        mx, my = np.where(x_first, mean_x[a, b], mean_y[a, b]), np.where(x_first, mean_y[a, b], mean_x[a, b])
+        x, y = np.where(x_first, names[left[a]], names[right[b]]), np.where(x_first, names[right[b]], names[left[a]])
+        number = lambda v: pa.array(v, pa.float64(), mask=~np.isfinite(v))
+        first = {k: pa.chunked_array([pa.repeat(table[k][0], len(a))]) for k in keys}
+        return pa.table({**first, "x": pa.array(x.astype(object), pa.string()), "y": pa.array(y.astype(object), pa.string()), "overlap": pa.array(n[a, b].astype(np.int64)), "correlation": number(corr), "beta": number(beta), "alpha": number(my - beta * mx)})
+
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "x string, y string, overlap long, correlation double, beta double, alpha double"])
+    return rows.groupBy(*keys, "i", "j").applyInArrow(compare, schema)
+
+
 def discover(prices: DataFrame, *, clock: DataFrame | None = None, keys: tuple[str, ...] = (), min_correlation: float = 0.7, max_pvalue: float = 0.05, min_half_life: float = 1.0, max_half_life: float = 252.0) -> DataFrame:
     """keys, y, x, beta, correlation, pvalue, half_life of the pairs that pass every stage, for each value of the keys.
 

@@ -34,6 +34,14 @@ def test_page(spark, tmp_path, values):
     assert page.count("data:image/png;base64,") == 3 and page.count("class=tile>") == 8 and "A &lt;b&gt; &amp; C" in page
 
 
+def two_bars(ticker, start, end):
+    """A vendor that knows one ticker."""
+    from pyspark.sql import SparkSession
+
+    rows = [(dt.datetime(2020, 1, k), 1.0, 2.0, 0.5, 1.5, 1.5, 10.0) for k in (2, 3)]
+    return SparkSession.getActiveSession().createDataFrame(rows, "Date timestamp, Open double, High double, Low double, Close double, `Adj Close` double, Volume double") if ticker == "A" else None
+
+
 def test_commands(spark, tmp_path, capsys):
     data, out = f"{tmp_path}/bars", lambda: capsys.readouterr().out
     assert cli.main(["version"]) == 0 and out().startswith("barspan ")
@@ -42,6 +50,9 @@ def test_commands(spark, tmp_path, capsys):
     assert cli.main(["ingest", "--out", data, "--n", "400", "--pairs", "2", "--noise", "2", "--seed", "42"]) == 0
     assert "wrote 2400 bars across 6 tickers" in out()
     assert cli.main(["ingest", "--source", "yfinance"]) == 2
+    assert cli.main(["ingest", "--source", "yfinance", "--tickers", "A"]) == 2 and "--download" in out()
+    assert cli.main(["--checkpoint", f"{tmp_path}/shared", "ingest", "--source", "yfinance", "--tickers", "A,B", "--download", "tests.test_report_cli:two_bars", "--out", f"{tmp_path}/vendor"]) == 0
+    assert "wrote 2 bars across 1 tickers" in out()
     assert cli.main(["research", "--dataset", data, "--min-corr", "0.3", "--max-pvalue", "0.1"]) == 0
     assert "P0b~P0a beta=1.810 corr=0.58 p=0.0004 hl=7.6" in out()
     assert cli.main(["research", "--dataset", data, "--min-corr", "0.99"]) == 0 and "no cointegrated pairs" in out()

@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import numpy as np
@@ -192,3 +193,41 @@ def test_sharpe_distributions():
     assert luck(draws[0].tolist()) / draws[0].std(ddof=1) == pytest.approx(draws.max(axis=1).mean(), rel=0.05)
     found = distributions.deflated_sharpe_ratio([0.05, 0.01, -0.02], rng.normal(0.001, 0.02, 500).tolist())
     assert 0 <= found.dsr <= 1 and found.best_sharpe == 0.05 and found.n_trials == 3 and found.sr_0 > 0
+
+
+def test_pairs_in_blocks(spark):
+    """Products of blocks give what the join by date gives, with gaps, tickers that never meet, and a constant series."""
+    from barspan.operators import panel
+
+    rng = np.random.default_rng(4)
+    days = [dt.datetime(2020, 1, 1) + dt.timedelta(days=k) for k in range(80)]
+    rows = [(w, d, f"T{t:02d}", float(np.exp(4 + 0.1 * t + 0.02 * rng.standard_normal()))) for w in (0, 1) for t in range(9) for d in days if rng.random() > 0.2]
+    rows += [(0, d, "U0", 5.0) for d in days[:30]] + [(0, d, "U1", float(np.exp(rng.standard_normal()))) for d in days[40:]]
+    prices = spark.createDataFrame(rows, "w int, date timestamp_ntz, ticker string, px double")
+    returns = panel.log_returns(prices, None, ("w",))
+    want = {(r.w, r.x, r.y): r for r in discovery.pair_statistics(returns, ("w",)).collect()}
+    for block in (2, 5):
+        found = {(r.w, r.x, r.y): r for r in discovery.pair_statistics(returns, ("w",), block).collect()}
+        assert set(found) == set(want) and len(found) == 54 + 36
+        for k, r in found.items():
+            assert r.overlap == want[k].overlap
+            for c in ("correlation", "beta", "alpha"):
+                a, b = r[c], want[k][c]
+                assert (a is None or abs(a) > 1e6) if b is None or b != b else a == pytest.approx(b, rel=1e-8, abs=1e-9), (k, c, a, b)
+
+
+def test_johansen_orders():
+    """With a trend in the data, taking it out first leaves the statistics of the data without it."""
+    rng = np.random.default_rng(6)
+    walk = np.cumsum(rng.standard_normal((400, 1)), axis=0)
+    data = np.concatenate([walk + rng.standard_normal((400, 1)), walk + rng.standard_normal((400, 1)), np.cumsum(rng.standard_normal((400, 5)), axis=0)], axis=1)
+    plain = unit_root.johansen(data)
+    assert plain.rank >= 1 and len(plain.trace_stats) == 7
+    tilted = unit_root.johansen(data + 0.5 * np.arange(400)[:, None], det_order=1)
+    assert tilted.trace_stats == pytest.approx(unit_root.johansen(data, det_order=1).trace_stats)
+    assert unit_root.johansen(data, det_order=-1).trace_stats[0] != pytest.approx(plain.trace_stats[0])
+    for bad in ({"det_order": 2}, {"level": 0.2}):
+        with pytest.raises(ValueError):
+            unit_root.johansen(data, **bad)
+    with pytest.raises(ValueError):
+        unit_root.johansen(rng.standard_normal((400, 13)))
