@@ -11,7 +11,8 @@ So a group of copies costs in proportion to its size, and no two texts that shar
 
 Defined cases: null, empty and blank texts have no shingles, link with nothing and are kept; a text of one to four words is
 one shingle; repeated rows of one doc_id are one document if their sets are equal, else each set links on its own and the
-document's row takes the least component; rows with a null doc_id are left out. Columns other than doc_id and text are not read.
+document's row takes the least component; rows with a null doc_id are left out; an empty table gives no rows; very long texts are compared
+whole, in blocks of fewer members. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ ESTIMATE = 0.58
 BLOCK = 64
 #: Members of a bucket that meet in one task: outside its largest part, and of all.
 CROSS = 256, 512
+#: Shingles, and so bytes of text, that a task holds of one side: blocks of long texts have fewer members.
+SHINGLES = 1 << 20
 
 
 @functools.cache
@@ -112,14 +115,19 @@ def _near(x: str, y: str):
     return flips <= F.lit(least_flips(ESTIMATE))
 
 
+def _blocks(members, shingles_, most: int):
+    """Into how many blocks so many members with so many shingles go."""
+    return F.greatest(F.ceil(members / most), F.ceil(shingles_ / SHINGLES))
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b) whose whole shingle sets are similar enough.
+    """Those of the pairs (a, b, and b's number of shingles n) whose whole shingle sets are similar enough.
 
-    A text goes once to each block of at most BLOCK partners of one centre, and to those where it is a partner.
+    A text goes once to each block of about BLOCK partners of one centre, fewer if they are long, and to those where it is a partner.
     """
     spark = docs.sparkSession
     common.arrow_rows(spark)
-    held = pairs.groupBy("a").count().select("a", F.ceil(F.col("count") / BLOCK).alias("blocks"))
+    held = pairs.groupBy("a").agg(_blocks(F.count("*"), F.sum("n"), BLOCK).alias("blocks"))
     dealt = pairs.join(held, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
     parts = dealt.select(F.col("b").alias("doc_id"), "a", "block", F.lit(False).alias("centre"))
     parts = parts.unionByName(dealt.select(F.col("a").alias("doc_id"), "a", "block", F.lit(True).alias("centre")).distinct())
@@ -144,14 +152,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Links (a, b) between different parts of a bucket, from ``members`` (key, doc_id, part).
+    """Links (a, b) between different parts of a bucket, from ``members`` (key, doc_id, part, n_shingles).
 
     Members outside the bucket's largest part meet all its members, in blocks of bounded size that compare
     sketches and then whole sets and only emit links. A pair is compared in the first bucket that both are in.
     """
-    sizes = members.groupBy("key", "part").count().groupBy("key")
-    sizes = sizes.agg(F.max_by("part", F.struct("count", "part")).alias("main"), F.max("count").alias("largest"), F.sum("count").alias("all"))
-    parts = [F.ceil((F.col("all") - F.col("largest")) / CROSS[0]), F.ceil(F.col("all") / CROSS[1])]
+    sizes = members.groupBy("key", "part").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("n")).groupBy("key")
+    sizes = sizes.agg(F.max(F.struct("count", "part", "n")).alias("main"), F.sum("count").alias("all"), F.sum("n").alias("n"))
+    sizes = sizes.select("key", "all", "n", F.col("main.part").alias("main"), F.col("main.count").alias("largest"), F.col("main.n").alias("largest_n"))
+    parts = [_blocks(F.col("all") - F.col("largest"), F.col("n") - F.col("largest_n"), CROSS[0]), _blocks(F.col("all"), F.col("n"), CROSS[1])]
     sided = members.join(sizes.select("key", "main", *(p.alias(n) for p, n in zip(parts, ("rows", "columns"), strict=True))), "key")
     sided = sided.withColumn("in_main", F.col("part") == F.col("main"))
     one, each = F.pmod(F.xxhash64("doc_id", F.lit(1)), "rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j")
@@ -201,8 +210,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = sets.groupBy("same", "same2").agg(F.min("doc_id").alias("rep"))
     # Of the rows of one doc_id and set any will do: they are equal.
     reps = sets.join(first.select(F.col("rep").alias("doc_id"), "same", "same2"), ["doc_id", "same", "same2"], "left_semi").dropDuplicates(["doc_id", "same", "same2"])
-    reps = common.written(reps.select("doc_id", "bands", "sketch"), "classes")
-    keys = reps.select("doc_id", F.explode("bands").alias("key"))
+    reps = common.written(reps.select("doc_id", "n_shingles", "bands", "sketch"), "classes")
+    keys = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
     # Only members of buckets that hold more than one class go on.
     crowd = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
     shared = common.written(keys.join(crowd, "key"), "buckets")
@@ -210,18 +219,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     company = shared.groupBy("doc_id").agg(F.sum("size").alias("company"))
     ranked = shared.join(company, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("company", -F.col("doc_id"))).alias("a"))
     bits = reps.select("doc_id", "sketch")
+    lengths = reps.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("n"))
     # Whole texts cross the network once, and only those that have company in a bucket are kept for comparing.
-    docs = common.written(common.texts(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "candidates")
+    # Rows that repeat a doc_id with its text count once, else they would multiply wherever they meet.
+    rows = common.texts(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("text"))
+    docs = common.written(rows.groupBy("doc_id", "h").agg(F.first("text").alias("text")).drop("h"), "candidates")
 
     def promising(pairs: DataFrame) -> DataFrame:
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        both = pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(bits.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb")), "b")
-        return both.where(_near("sa", "sb")).select("a", "b")
+        both = pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(lengths, "b")
+        return both.where(_near("sa", "sb")).select("a", "b", "n")
 
     def apart(links: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
         """Components so far; members of the buckets of three or more that span several; whether there are such."""
         parts = common.components(links)
-        now = shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("part"))
+        now = shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("part"))
         # Both members of a bucket of two have been compared.
         open_ = now.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q and n > 2").select("key")
         held = common.written(now.join(open_, "key"), "open")

@@ -227,6 +227,16 @@ def test_near_duplicates_in_large_groups(spark, monkeypatch):
     assert found == want and 1 < len(set(want.values())) < 90
 
 
+def test_near_duplicates_in_small_blocks(spark, monkeypatch, plain):
+    """Blocks cut by their shingles find what whole ones do; a row that comes again and again changes nothing."""
+    rows = [(d, t, "s") for d, t in plain.items()]
+    want = {r.doc_id: r.component_id for r in near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    monkeypatch.setattr(near_dups, "SHINGLES", 100)
+    monkeypatch.setattr(near_dups, "CROSS", (3, 5))
+    more = spark.createDataFrame(rows + [rows[5], rows[6]] * 300, "doc_id long, text string, source string")
+    assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(more).collect()} == want
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(1)
     for share in (0.7, 0.8, 0.95):
