@@ -13,30 +13,39 @@ from barspan.llm import common, mixing, near_dups, packing, quality, secret_scan
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labelled ones, does not reject."""
+    """Documents that the classifier, fitted on the labelled ones, does not reject.
+
+    Null and empty texts get the score of the model's bias; repeated rows are scored row by row; without labels none are rejected.
+    """
     model = quality.train(docs, common.read(spark, sf_dir, "labels"))
     score = max(docs.columns, key=len) + "_score"
     return quality.scored(docs, model, score).where(F.col(score) >= quality.ACCEPT).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the least doc_id. Rows without a doc_id stay."""
+    """One document of each group of near duplicates: the one with the least doc_id. Rows without a doc_id stay.
+
+    Texts without words are no one's copies and stay; repeated rows of a kept doc_id all stay.
+    """
     kept = near_dups.near_duplicates(docs).where("kept").select("doc_id")
     return docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
 
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets replaced by a mark."""
+    """All documents, with their secrets replaced by a mark; null texts stay null."""
     return secret_scan.redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's target weight has it taken."""
+    """Each document as often as its source's target weight has it taken.
+
+    Null sources are a source of their own; documents of a source without words are not taken; equal rows are drawn row by row.
+    """
     return mixing.emit(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in their sequences, with their ids."""
+    """The pieces of all documents in their sequences, with their ids; null and empty texts have their end id alone."""
     return packing.pack(docs)
 
 
