@@ -38,6 +38,8 @@ SKETCH_BITS = 512
 ESTIMATE = 0.58
 #: Members confirmed in one task together with their centre.
 BLOCK = 64
+#: Shares that a bucket's members are dealt into where they are joined to what is known of the bucket; a bit each of a long.
+SALTS = 64
 #: Members of a bucket that meet in one task: outside its largest part, and of all.
 CROSS = 256, 512
 #: Shingles, and so bytes of text, that a task holds of one side: blocks of long texts have fewer members.
@@ -115,6 +117,17 @@ def _near(x: str, y: str):
     return flips <= F.lit(least_flips(ESTIMATE))
 
 
+def _salts():
+    """Of a group of members: the shares that have any, as bits."""
+    return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
+
+
+def _of_bucket(members: DataFrame, buckets: DataFrame) -> DataFrame:
+    """Members with the columns of their bucket's row, which goes once to each share: no task gets a large bucket whole."""
+    shares = F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (shiftright(salts, s) & 1) = 1)"))
+    return members.join(buckets.withColumn("salt", shares).drop("salts"), ["key", "salt"])
+
+
 def _blocks(members, shingles_, most: int):
     """Into how many blocks so many members with so many shingles go."""
     return F.greatest(F.ceil(members / most), F.ceil(shingles_ / SHINGLES))
@@ -152,16 +165,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def across(members: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Links (a, b) between different parts of a bucket, from ``members`` (key, doc_id, part, n_shingles).
+    """Links (a, b) between different parts of a bucket, from ``members`` (key, salt, doc_id, part, n_shingles).
 
     Members outside the bucket's largest part meet all its members, in blocks of bounded size that compare
     sketches and then whole sets and only emit links. A pair is compared in the first bucket that both are in.
     """
-    sizes = members.groupBy("key", "part").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("n")).groupBy("key")
-    sizes = sizes.agg(F.max(F.struct("count", "part", "n")).alias("main"), F.sum("count").alias("all"), F.sum("n").alias("n"))
-    sizes = sizes.select("key", "all", "n", F.col("main.part").alias("main"), F.col("main.count").alias("largest"), F.col("main.n").alias("largest_n"))
+    sizes = members.groupBy("key", "part").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("n"), _salts()).groupBy("key")
+    sizes = sizes.agg(F.max(F.struct("count", "part", "n")).alias("main"), F.sum("count").alias("all"), F.sum("n").alias("n"), F.bit_or("salts").alias("salts"))
+    sizes = sizes.select("key", "salts", "all", "n", F.col("main.part").alias("main"), F.col("main.count").alias("largest"), F.col("main.n").alias("largest_n"))
     parts = [_blocks(F.col("all") - F.col("largest"), F.col("n") - F.col("largest_n"), CROSS[0]), _blocks(F.col("all"), F.col("n"), CROSS[1])]
-    sided = members.join(sizes.select("key", "main", *(p.alias(n) for p, n in zip(parts, ("rows", "columns"), strict=True))), "key")
+    sided = _of_bucket(members, sizes.select("key", "salts", "main", *(p.alias(n) for p, n in zip(parts, ("rows", "columns"), strict=True))))
     sided = sided.withColumn("in_main", F.col("part") == F.col("main"))
     one, each = F.pmod(F.xxhash64("doc_id", F.lit(1)), "rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j")
     small = sided.where("not in_main").select("key", "doc_id", "part", "in_main", F.lit(True).alias("left"), one, each)
@@ -211,13 +224,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Of the rows of one doc_id and set any will do: they are equal.
     reps = sets.join(first.select(F.col("rep").alias("doc_id"), "same", "same2"), ["doc_id", "same", "same2"], "left_semi").dropDuplicates(["doc_id", "same", "same2"])
     reps = common.written(reps.select("doc_id", "n_shingles", "bands", "sketch"), "classes")
-    keys = reps.select("doc_id", "n_shingles", F.explode("bands").alias("key"))
+    keys = reps.select("doc_id", "n_shingles", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int").alias("salt"), F.explode("bands").alias("key"))
     # Only members of buckets that hold more than one class go on.
-    crowd = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = common.written(keys.join(crowd, "key"), "buckets")
+    crowd = keys.groupBy("key").agg(F.count("*").alias("size"), _salts()).where("size > 1")
+    shared = common.written(_of_bucket(keys, crowd), "buckets")
     # The member that shares the most places is the centre of its buckets: the text that others are copies of, if it is there.
     company = shared.groupBy("doc_id").agg(F.sum("size").alias("company"))
-    ranked = shared.join(company, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("company", -F.col("doc_id"))).alias("a"))
+    ranked = shared.join(company, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("company", -F.col("doc_id"))).alias("a"), _salts())
     bits = reps.select("doc_id", "sketch")
     lengths = reps.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("n"))
     # Whole texts cross the network once, and only those that have company in a bucket are kept for comparing.
@@ -233,19 +246,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     def apart(links: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
         """Components so far; members of the buckets of three or more that span several; whether there are such."""
         parts = common.components(links)
-        now = shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("part"))
+        now = shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "salt", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("part"))
         # Both members of a bucket of two have been compared.
-        open_ = now.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n")).where("p < q and n > 2").select("key")
-        held = common.written(now.join(open_, "key"), "open")
+        open_ = now.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n"), _salts()).where("p < q and n > 2").select("key", "salts")
+        held = common.written(_of_bucket(now, open_), "open")
         return parts, held, not held.isEmpty()
 
     # First one centre for each bucket; buckets of one group mostly have the same, and ask for the same pairs.
-    links = common.written(confirmed(promising(shared.join(ranked, "key").select("a", F.col("doc_id").alias("b"))), docs), "links")
+    links = common.written(confirmed(promising(_of_bucket(shared, ranked).select("a", F.col("doc_id").alias("b"))), docs), "links")
     parts, now, more = apart(links)
     if more:
         # Then a centre of its own for each bucket that is still in parts.
-        centre = now.groupBy("key").agg(F.min_by(F.struct("doc_id", "part"), F.xxhash64("doc_id", "key")).alias("c"))
-        pairs = now.join(centre, "key").where("part <> c.part").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
+        centre = now.groupBy("key").agg(F.min_by(F.struct("doc_id", "part"), F.xxhash64("doc_id", "key")).alias("c"), _salts())
+        pairs = _of_bucket(now, centre).where("part <> c.part").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
         found = common.written(confirmed(promising(pairs), docs), "links")
         if not found.isEmpty():
             links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(found)
