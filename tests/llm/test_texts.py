@@ -325,6 +325,27 @@ def test_license_containment_join_on_many_blocks(spark):
         assert found[d] == want
 
 
+def test_license_scan_of_many_templates(spark):
+    import random
+
+    from tests.llm.conftest import frame
+
+    rng = random.Random(8)
+    words = [f"w{k}" for k in range(500)]
+    templates = tuple((" ".join(rng.sample(words, rng.randint(6, 30))), f"label{n}") for n in range(200))
+    rows = []
+    for d in range(60):
+        own = rng.choice(templates)[0].split()
+        rows.append((d, " ".join(own[rng.randint(0, 3) :] + rng.sample(words, 10) + ["filler"] * rng.randint(0, 40)), None))
+    found = {r.doc_id: sorted((m.at, m.template) for m in r.matches) for r in license_scan.scan(frame(spark, rows), templates=templates).collect()}
+    for d, t, _ in rows:
+        w = t.split()
+        blocks = [(at, set(w[at : at + 64])) for at in range(0, max(len(w) - 1 - 32, 0) + 1, 32)]
+        want = [(at, n) for at, block in blocks for n, (text, _) in enumerate(templates) if len(block & set(text.split())) >= math.ceil(0.85 * len(set(text.split())) - 1e-9)]
+        assert found[d] == want
+    assert any(found.values())
+
+
 def test_license_scan_is_native(docs):
     plan = license_scan.scan(docs)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
