@@ -122,10 +122,15 @@ def _salts():
     return F.bit_or(F.expr("shiftleft(1L, salt)")).alias("salts")
 
 
-def _of_bucket(members: DataFrame, buckets: DataFrame) -> DataFrame:
-    """Members with the columns of their bucket's row, which goes once to each share: no task gets a large bucket whole."""
+def _salt(member: str):
+    """The share that a member is in."""
+    return F.pmod(F.xxhash64(member, F.lit(3)), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _of_bucket(members: DataFrame, buckets: DataFrame, key: str = "key") -> DataFrame:
+    """Members with the columns of their bucket's (or centre's) row, which goes once to each share: no task gets a large one whole."""
     shares = F.explode(F.expr(f"filter(sequence(0, {SALTS - 1}), s -> (shiftright(salts, s) & 1) = 1)"))
-    return members.join(buckets.withColumn("salt", shares).drop("salts"), ["key", "salt"])
+    return members.join(buckets.withColumn("salt", shares).drop("salts"), [key, "salt"])
 
 
 def _blocks(members, shingles_, most: int):
@@ -140,8 +145,9 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     common.arrow_rows(spark)
-    held = pairs.groupBy("a").agg(_blocks(F.count("*"), F.sum("n"), BLOCK).alias("blocks"))
-    dealt = pairs.join(held, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
+    pairs = pairs.withColumn("salt", _salt("b"))
+    held = pairs.groupBy("a").agg(_blocks(F.count("*"), F.sum("n"), BLOCK).alias("blocks"), _salts())
+    dealt = _of_bucket(pairs, held, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
     parts = dealt.select(F.col("b").alias("doc_id"), "a", "block", F.lit(False).alias("centre"))
     parts = parts.unionByName(dealt.select(F.col("a").alias("doc_id"), "a", "block", F.lit(True).alias("centre")).distinct())
     rows = parts.join(docs.select("doc_id", "text"), "doc_id")
@@ -224,7 +230,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     # Of the rows of one doc_id and set any will do: they are equal.
     reps = sets.join(first.select(F.col("rep").alias("doc_id"), "same", "same2"), ["doc_id", "same", "same2"], "left_semi").dropDuplicates(["doc_id", "same", "same2"])
     reps = common.written(reps.select("doc_id", "n_shingles", "bands", "sketch"), "classes")
-    keys = reps.select("doc_id", "n_shingles", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(SALTS)).cast("int").alias("salt"), F.explode("bands").alias("key"))
+    keys = reps.select("doc_id", "n_shingles", _salt("doc_id"), F.explode("bands").alias("key"))
     # Only members of buckets that hold more than one class go on.
     crowd = keys.groupBy("key").agg(F.count("*").alias("size"), _salts()).where("size > 1")
     shared = common.written(_of_bucket(keys, crowd), "buckets")
@@ -239,8 +245,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = common.written(rows.groupBy("doc_id", "h").agg(F.first("text").alias("text")).drop("h"), "candidates")
 
     def promising(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        both = pairs.join(bits.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a").join(lengths, "b")
+        # Either way round a pair counts once, and its centre stays ``a``: its text then goes to blocks, not to each partner.
+        pairs = pairs.where("a <> b").groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
+        pairs = pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
+        pairs = pairs.withColumn("salt", _salt("b"))
+        centres = pairs.groupBy("a").agg(_salts()).join(bits.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
+        both = _of_bucket(pairs, centres, "a").join(lengths, "b")
         return both.where(_near("sa", "sb")).select("a", "b", "n")
 
     def apart(links: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
