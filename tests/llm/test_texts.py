@@ -300,6 +300,18 @@ def test_license_scan(docs, rows):
     assert any(m for v in found.values() for _, _, m in v) and any(p for v in found.values() for _, p, _ in v)
 
 
+def test_license_scan_counts_the_contracts_phrases(spark, tmp_path):
+    """The phrases are written out here: a shorter one counts other places."""
+    from tests.llm.conftest import frame
+
+    texts = ["mit license", "Under the\nMIT_License, under the MIT-license", "the mit license", "under the mit licenses", "Apache License, Version 2.0 CC-BY/NC", "cc by ncc", "", None]
+    frame(spark, [(k, t, None) for k, t in enumerate(texts)]).write.parquet(str(tmp_path / "documents.parquet"))
+    found = license_scan.op2_license_scan(spark, str(tmp_path)).orderBy("doc_id")
+    got = [tuple(r) for r in found.select("n_words", "n_base", "first_word", "last_word", "base_labels").collect()]
+    none = (0, None, None, "")
+    assert got == [(2, *none), (8, 2, 0, 4, "mit"), (3, *none), (4, *none), (8, 2, 0, 5, "apache-2,cc-by-nc"), (3, *none), (0, *none), (0, *none)]
+
+
 def test_license_containment_join_on_many_blocks(spark):
     """Random blocks of template words: the filters lose none that an exact count finds."""
     import random
