@@ -28,6 +28,8 @@ from barspan.llm import common, tok
 MAGIC = b"BSWM0002"
 #: Bits between stored counts of ones.
 BLOCK = 512
+#: Ids of a plane worked on at once: they stay in a core's cache. A multiple of BLOCK.
+CHUNK = 1 << 16
 #: Ids after which a shard's file is closed; a longer document makes a longer file.
 SHARD_IDS = 1 << 22
 
@@ -46,17 +48,24 @@ def build(ids: np.ndarray, doc_ids: list[int | None], lengths: np.ndarray) -> by
     number = np.zeros(int(alphabet[-1]) + 1 if len(alphabet) else 1, np.uint16 if bits <= 16 else np.uint32)
     number[alphabet] = np.arange(len(alphabet))
     now = number[ids]
+    high = np.empty_like(now)
     parts, zeros = [], []
     for level in range(bits - 1, -1, -1):
-        one = (now & now.dtype.type(1 << level)) != 0
-        packed = np.packbits(one, bitorder="little")
-        padded = np.zeros(-(-len(one) // BLOCK) * BLOCK // 64, "<u8")
-        padded.view(np.uint8)[: len(packed)] = packed
+        padded = np.zeros(-(-len(now) // BLOCK) * BLOCK // 64, "<u8")
+        low = ones = 0
+        for k in range(0, len(now), CHUNK):
+            part = now[k : k + CHUNK]
+            one = (part & now.dtype.type(1 << level)) != 0
+            packed = np.packbits(one, bitorder="little")
+            padded.view(np.uint8)[k // 8 : k // 8 + len(packed)] = packed
+            up, down = np.compress(one, part), np.compress(~one, part)
+            high[ones : ones + len(up)] = up
+            now[low : low + len(down)] = down
+            low, ones = low + len(down), ones + len(up)
+        now[low:] = high[:ones]
         counts = np.cumsum(np.bitwise_count(padded).reshape(-1, BLOCK // 64).sum(1, dtype=np.uint32), dtype="<u4")
         parts += [_packed(padded.tobytes()), _packed(counts.tobytes())]
-        low = np.compress(~one, now)
-        zeros.append(len(low))
-        now = np.concatenate((low, np.compress(one, now)))
+        zeros.append(low)
     known = np.array([d is not None for d in doc_ids], np.uint8)
     docs = np.array([d or 0 for d in doc_ids], "<i8")
     parts += [_packed(np.packbits(known).tobytes()), _packed(np.diff(docs, prepend=0).tobytes()), _packed(np.asarray(lengths, "<u4").tobytes()), _packed(np.diff(alphabet, prepend=0).astype("<u4").tobytes())]
@@ -155,12 +164,17 @@ class WaveletShard:
         """All ids in order, from the lowest plane up."""
         kind = np.uint16 if self.bits <= 16 else np.uint32
         now = np.zeros(self.n, kind)
+        above = np.empty_like(now)
         for level in range(self.bits - 1, -1, -1):
-            one = np.unpackbits(self._plane(level)[0].view(np.uint8), count=self.n, bitorder="little").view(bool)
-            above = np.empty_like(now)
-            above[np.flatnonzero(~one)] = now[: self.zeros[level]]
-            above[np.flatnonzero(one)] = now[self.zeros[level] :] | kind(1 << (self.bits - 1 - level))
-            now = above
+            plane, low, high = self._plane(level)[0].view(np.uint8), 0, self.zeros[level]
+            for k in range(0, self.n, CHUNK):
+                part = above[k : k + CHUNK]
+                one = np.unpackbits(plane[k // 8 : (k + CHUNK) // 8], count=len(part), bitorder="little").view(bool)
+                up, down = np.flatnonzero(one), np.flatnonzero(~one)
+                part[down] = now[low : low + len(down)]
+                part[up] = now[high : high + len(up)] | kind(1 << (self.bits - 1 - level))
+                low, high = low + len(down), high + len(up)
+            now, above = above, now
         return self.alphabet.astype("<u4")[now] if self.n else now.astype("<u4")
 
     def documents(self) -> tuple[list[int | None], np.ndarray]:

@@ -43,6 +43,41 @@ def test_encoder_forgets_and_is_right(monkeypatch, rows):
         assert encode(pa.array([t]))[1].tolist() == encoded(t)[:-1]
 
 
+def test_encoder_keeps_words_in_arrays_and_learns_plain_ones_from_the_bare_model(monkeypatch):
+    """What made op4_token_files pass its budget: plain words need neither the normaliser nor a Python object each."""
+    import random
+
+    rng = random.Random(2)
+    monkeypatch.setattr(tok, "CACHED_WORDS", 2000)
+    plain = ["".join(rng.choice("abcdefghijknoprstuvzßäéñøÿ") for _ in range(rng.randint(1, 12))) for _ in range(6000)]
+    odd = ["İi", "ﬁ", "e\u0301", "ª", "x2", "don't", "日本", "ǅ", "\x0b", "\u200b", "ſ", "µ", "", "a\u00a0b", "ß.", "٣", "x" * 5000]
+    library = tok.encoder(tok.vocabulary()).library
+    encode = tok.WordEncoder(tok.vocabulary())
+    encode.library = None
+    texts = [" ".join(plain[k : k + 1500]) for k in range(0, 6000, 1500)] * 2
+    for t in texts:
+        counts, ids = encode(pa.array([t, None, ""]))
+        assert ids.tolist() == library.encode(t, add_special_tokens=False).ids and counts.tolist() == [len(ids), 0, 0]
+    assert isinstance(encode.now.words, pa.Array) and len(encode.old) > 1
+    encode.library = library
+    for _ in range(20):
+        some = [" ".join(rng.choice(odd if rng.random() < 0.3 else plain) for _ in range(rng.randint(0, 400))) for _ in range(5)]
+        counts, ids = encode(pa.array(some))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] == [library.encode(t, add_special_tokens=False).ids for t in some]
+    assert encode(pa.array([], pa.string()))[1].tolist() == []
+
+
+@pytest.mark.parametrize("more", [-1, 0, 1, token_files.CHUNK + 777])
+def test_wavelet_shard_of_many_chunks(more):
+    n = 2 * token_files.CHUNK + more
+    ids = (np.random.default_rng(3).zipf(1.2, n) % 900).astype("<u4")
+    shard = token_files.WaveletShard(token_files.build(ids, [1], np.array([n])))
+    assert (shard.ids() == ids).all()
+    for i in (0, token_files.CHUNK - 1, token_files.CHUNK, n - 1):
+        assert shard.access(i) == ids[i] and shard.rank(int(ids[i]), i) == (ids[:i] == ids[i]).sum()
+    assert shard.locate(int(ids[n - 1])) == np.flatnonzero(ids == ids[n - 1]).tolist()
+
+
 @pytest.mark.parametrize("n,v", [(0, 5), (1, 1), (5000, 300), (3000, 70000), (513, 2), (512, 3)])
 def test_wavelet_shard(n, v):
     rng = np.random.default_rng(n)
