@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barspan.llm import common, shingles, tok
@@ -44,6 +44,8 @@ SALTS = 64
 CROSS = 256, 512
 #: Shingles, and so bytes of text, that a task holds of one side: blocks of long texts have fewer members.
 SHINGLES = 1 << 20
+#: Links (16 bytes each) whose components one task finds; beyond, they are found in rounds over all tasks.
+LINKS = 1 << 18
 
 
 @functools.cache
@@ -138,19 +140,26 @@ def _blocks(members, shingles_, most: int):
     return F.greatest(F.ceil(members / most), F.ceil(shingles_ / SHINGLES))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """Those of the pairs (a, b, and b's number of shingles n) whose whole shingle sets are similar enough.
+def met(pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """Pairs (a, b) of centres and members, each once: a, b, b's number of shingles n and sketch sb, its share."""
+    pairs = pairs.where("a <> b").groupBy("b").agg(F.collect_set("a").alias("centres"))  # at most BANDS
+    pairs = pairs.join(reps.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("n"), F.col("sketch").alias("sb")), "b")
+    return pairs.select(F.explode("centres").alias("a"), "b", "n", "sb", _salt("b"))
 
-    A text goes once to each block of about BLOCK partners of one centre, fewer if they are long, and to those where it is a partner.
+
+def confirmed(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the pairs that ``met`` (a table) those (a, b) whose sketches, and then whole shingle sets, are similar enough.
+
+    A text goes once to each block of at most about BLOCK partners of one centre, fewer if they are long, and to those where it is a
+    partner. Blocks are counted before sketches are compared, so that a centre's sketch and its number of blocks travel together.
     """
-    spark = docs.sparkSession
-    common.arrow_rows(spark)
-    pairs = pairs.withColumn("salt", _salt("b"))
+    common.arrow_rows(docs.sparkSession)
     held = pairs.groupBy("a").agg(_blocks(F.count("*"), F.sum("n"), BLOCK).alias("blocks"), _salts())
-    dealt = _of_bucket(pairs, held, "a").select("a", "b", F.pmod(F.xxhash64("b"), "blocks").alias("block"))
-    parts = dealt.select(F.col("b").alias("doc_id"), "a", "block", F.lit(False).alias("centre"))
-    parts = parts.unionByName(dealt.select(F.col("a").alias("doc_id"), "a", "block", F.lit(True).alias("centre")).distinct())
-    rows = parts.join(docs.select("doc_id", "text"), "doc_id")
+    held = held.join(reps.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
+    near = _of_bucket(pairs.drop("n"), held, "a").where(_near("sa", "sb")).select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), "b")
+    dealt = near.groupBy("a", "block").agg(F.collect_set("b").alias("partners"))
+    rows = dealt.select("a", "block", F.explode(F.concat(F.array("a"), "partners")).alias("doc_id")).withColumn("centre", F.col("doc_id") == F.col("a"))
+    rows = rows.join(docs.select("doc_id", "text"), "doc_id")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -170,22 +179,26 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.groupBy("a", "block").applyInArrow(compare, "a long, b long")
 
 
+def sided(members: DataFrame) -> DataFrame:
+    """Members (key, salt, doc_id, part, n_shingles) of the buckets in several parts: whether each is in its bucket's largest, and the bucket's blocks."""
+    sizes = members.groupBy("key", "part").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("n"), _salts()).groupBy("key")
+    sizes = sizes.agg(F.max(F.struct("count", "part", "n")).alias("main"), F.sum("count").alias("all"), F.sum("n").alias("n"), F.bit_or("salts").alias("salts"))
+    sizes = sizes.select("key", "salts", "all", "n", F.col("main.part").alias("main"), F.col("main.count").alias("largest"), F.col("main.n").alias("largest_n")).where(F.col("largest") < F.col("all"))
+    parts = [_blocks(F.col("all") - F.col("largest"), F.col("n") - F.col("largest_n"), CROSS[0]), _blocks(F.col("all"), F.col("n"), CROSS[1])]
+    known = sizes.select("key", "salts", "main", *(p.alias(n) for p, n in zip(parts, ("rows", "columns"), strict=True)))
+    return _of_bucket(members, known).select("key", "doc_id", "part", (F.col("part") == F.col("main")).alias("in_main"), "rows", "columns")
+
+
 def across(members: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Links (a, b) between different parts of a bucket, from ``members`` (key, salt, doc_id, part, n_shingles).
+    """Links (a, b) between different parts of a bucket, from members as ``sided`` has them.
 
     Members outside the bucket's largest part meet all its members, in blocks of bounded size that compare
     sketches and then whole sets and only emit links. A pair is compared in the first bucket that both are in.
     """
-    sizes = members.groupBy("key", "part").agg(F.count("*").alias("count"), F.sum("n_shingles").alias("n"), _salts()).groupBy("key")
-    sizes = sizes.agg(F.max(F.struct("count", "part", "n")).alias("main"), F.sum("count").alias("all"), F.sum("n").alias("n"), F.bit_or("salts").alias("salts"))
-    sizes = sizes.select("key", "salts", "all", "n", F.col("main.part").alias("main"), F.col("main.count").alias("largest"), F.col("main.n").alias("largest_n"))
-    parts = [_blocks(F.col("all") - F.col("largest"), F.col("n") - F.col("largest_n"), CROSS[0]), _blocks(F.col("all"), F.col("n"), CROSS[1])]
-    sided = _of_bucket(members, sizes.select("key", "salts", "main", *(p.alias(n) for p, n in zip(parts, ("rows", "columns"), strict=True))))
-    sided = sided.withColumn("in_main", F.col("part") == F.col("main"))
     one, each = F.pmod(F.xxhash64("doc_id", F.lit(1)), "rows").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("columns") - 1)).alias("j")
-    small = sided.where("not in_main").select("key", "doc_id", "part", "in_main", F.lit(True).alias("left"), one, each)
+    small = members.where("not in_main").select("key", "doc_id", "part", "in_main", F.lit(True).alias("left"), one, each)
     one, each = F.pmod(F.xxhash64("doc_id", F.lit(2)), "columns").alias("j"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)).alias("i")
-    whole = sided.select("key", "doc_id", "part", "in_main", F.lit(False).alias("left"), each, one)
+    whole = members.select("key", "doc_id", "part", "in_main", F.lit(False).alias("left"), each, one)
     held = members.groupBy("doc_id").agg(F.collect_list("key").alias("keys"))  # at most BANDS
     held = held.join(sketches, "doc_id").join(docs.select("doc_id", "text"), "doc_id")
     rows = small.unionByName(whole).join(held, "doc_id")
@@ -226,61 +239,52 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     since = common.tables_written()
     signed = common.written(signatures(docs), "signatures")
     sets = signed.where("n_shingles > 0")
-    first = sets.groupBy("same", "same2").agg(F.min("doc_id").alias("rep"))
     # Of the rows of one doc_id and set any will do: they are equal.
-    reps = sets.join(first.select(F.col("rep").alias("doc_id"), "same", "same2"), ["doc_id", "same", "same2"], "left_semi").dropDuplicates(["doc_id", "same", "same2"])
-    reps = common.written(reps.select("doc_id", "n_shingles", "bands", "sketch"), "classes")
+    first = F.min_by(F.struct("n_shingles", "bands", "sketch"), "doc_id").alias("row")
+    reps = common.written(sets.groupBy("same", "same2").agg(F.min("doc_id").alias("doc_id"), first).select("doc_id", "same", "same2", "row.*"), "classes")
     keys = reps.select("doc_id", "n_shingles", _salt("doc_id"), F.explode("bands").alias("key"))
     # Only members of buckets that hold more than one class go on.
     crowd = keys.groupBy("key").agg(F.count("*").alias("size"), _salts()).where("size > 1")
     shared = common.written(_of_bucket(keys, crowd), "buckets")
     # The member that shares the most places is the centre of its buckets: the text that others are copies of, if it is there.
-    company = shared.groupBy("doc_id").agg(F.sum("size").alias("company"))
-    ranked = shared.join(company, "doc_id").groupBy("key").agg(F.max_by("doc_id", F.struct("company", -F.col("doc_id"))).alias("a"), _salts())
-    bits = reps.select("doc_id", "sketch")
-    lengths = reps.select(F.col("doc_id").alias("b"), F.col("sketch").alias("sb"), F.col("n_shingles").alias("n"))
+    company = F.sum("size").over(Window.partitionBy("doc_id"))  # at most BANDS rows
+    ranked = shared.withColumn("company", company).groupBy("key").agg(F.max_by("doc_id", F.struct("company", -F.col("doc_id"))).alias("a"), _salts())
     # Whole texts cross the network once, and only those that have company in a bucket are kept for comparing.
     # Rows that repeat a doc_id with its text count once, else they would multiply wherever they meet.
     rows = common.texts(docs).join(shared.select("doc_id").distinct(), "doc_id", "left_semi").withColumn("h", F.xxhash64("text"))
     docs = common.written(rows.groupBy("doc_id", "h").agg(F.first("text").alias("text")).drop("h"), "candidates")
 
-    def promising(pairs: DataFrame) -> DataFrame:
-        # Either way round a pair counts once, and its centre stays ``a``: its text then goes to blocks, not to each partner.
-        pairs = pairs.where("a <> b").groupBy(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi")).agg(F.min("a").alias("a"))
-        pairs = pairs.select("a", F.when(F.col("a") == F.col("lo"), F.col("hi")).otherwise(F.col("lo")).alias("b"))
-        pairs = pairs.withColumn("salt", _salt("b"))
-        centres = pairs.groupBy("a").agg(_salts()).join(bits.select(F.col("doc_id").alias("a"), F.col("sketch").alias("sa")), "a")
-        both = _of_bucket(pairs, centres, "a").join(lengths, "b")
-        return both.where(_near("sa", "sb")).select("a", "b", "n")
-
-    def apart(links: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
-        """Components so far; members of the buckets of three or more that span several; whether there are such."""
-        parts = common.components(links)
-        now = shared.join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("key", "salt", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("part"))
-        # Both members of a bucket of two have been compared.
-        open_ = now.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count("*").alias("n"), _salts()).where("p < q and n > 2").select("key", "salts")
-        held = common.written(_of_bucket(now, open_), "open")
-        return parts, held, not held.isEmpty()
+    def now(parts: DataFrame) -> DataFrame:
+        """Members of the buckets of three or more, with their components so far. Both members of a bucket of two have been compared."""
+        found = shared.where("size > 2").join(parts.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+        return found.select("key", "salt", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("part"))
+
+    def joined(parts: DataFrame, found: DataFrame) -> DataFrame:
+        return common.components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(found), at_once=LINKS)
 
     # First one centre for each bucket; buckets of one group mostly have the same, and ask for the same pairs.
-    links = common.written(confirmed(promising(_of_bucket(shared, ranked).select("a", F.col("doc_id").alias("b"))), docs), "links")
-    parts, now, more = apart(links)
-    if more:
-        # Then a centre of its own for each bucket that is still in parts.
-        centre = now.groupBy("key").agg(F.min_by(F.struct("doc_id", "part"), F.xxhash64("doc_id", "key")).alias("c"), _salts())
-        pairs = _of_bucket(now, centre).where("part <> c.part").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
-        found = common.written(confirmed(promising(pairs), docs), "links")
+    pairs = common.written(met(_of_bucket(shared, ranked).select("a", F.col("doc_id").alias("b")), reps), "pairs")
+    parts = common.components(common.written(confirmed(pairs, reps, docs), "links"), at_once=LINKS)
+    # Then a centre of its own for each bucket that is still in parts.
+    members, own = now(parts), F.min_by(F.struct("doc_id", "part"), F.xxhash64("doc_id", "key")).alias("c")
+    centre = members.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q"), own, _salts()).where("p < q").drop("p", "q")
+    pairs = _of_bucket(members, centre).where("part <> c.part").select(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b"))
+    pairs = common.written(met(pairs, reps), "pairs")
+    if not pairs.isEmpty():
+        found = common.written(confirmed(pairs, reps, docs), "links")
         if not found.isEmpty():
-            links = parts.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(found)
-            parts, now, more = apart(links)
-    if more:
+            parts = joined(parts, found)
         # Then all that is still apart, outside each bucket's largest part, against all other parts.
-        found = common.written(across(now, docs, bits), "links")
-        if not found.isEmpty():
-            parts = common.components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b").unionByName(found))
-    members = sets.select("doc_id", "same", "same2").distinct().join(first, ["same", "same2"]).select("doc_id", "rep")
-    found = members.join(parts.withColumnRenamed("node", "rep"), "rep", "left").groupBy("doc_id").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
-    out = signed.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(found, "doc_id", "left")
+        members = common.written(sided(now(parts)), "open")
+        if not members.isEmpty():
+            found = common.written(across(members, docs, reps.select("doc_id", "sketch")), "links")
+            if not found.isEmpty():
+                parts = joined(parts, found)
+    # Classes take their components, rows those of their classes; of a doc_id's rows the least counts.
+    classes = reps.select("same", "same2", F.col("doc_id").alias("node")).join(parts, "node", "left").select("same", "same2", F.coalesce("component", "node").alias("component"))
+    rows = sets.select("doc_id", "n_shingles", "same", "same2").join(classes, ["same", "same2"]).select("doc_id", "n_shingles", "component")
+    rows = rows.unionByName(signed.where("n_shingles = 0").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
+    out = rows.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles"), F.min("component").alias("component_id"))
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     # Three numbers a document: with them written, sketches, buckets and candidate texts can go.
     return common.written_alone(out, "classified", since).withColumn("kept", F.col("component_id") == F.col("doc_id"))

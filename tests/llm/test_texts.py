@@ -272,6 +272,39 @@ def test_near_duplicates_in_small_blocks(spark, monkeypatch, plain):
     assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(more).collect()} == want
 
 
+def test_near_duplicates_take_few_stages(spark, monkeypatch):
+    """On many partitions most of the time of small tables is that of starting tasks, so stages count; results are those of many rounds."""
+    import random
+
+    from tests.llm.conftest import frame, word
+
+    monkeypatch.setattr(near_dups, "BLOCK", 3)
+    rng = random.Random(6)
+    texts = {}
+    for d in range(120):
+        copy = [word(random.Random(d % 4 * 100 + k)) + str(k) for k in range(60)]
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(60)] = word(rng) + "x"
+        texts[d] = " ".join(copy)
+    # A doc_id that comes with two sets links them, and what they are copies of.
+    docs = frame(spark, [(d, t, None) for d, t in texts.items()] + [(7, texts[0] + " more", None)])
+    sc, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    sc.setJobGroup("few", "")
+    try:
+        found = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs).collect()}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in tracker.getJobIdsForGroup("few") for s in tracker.getJobInfo(j).stageIds}
+    ran = [s for s in stages if (i := tracker.getStageInfo(s)) and i.numCompletedTasks]
+    assert 20 < len(ran) <= 80
+    monkeypatch.setattr(near_dups, "LINKS", 0)
+    assert {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs).collect()} == found
+    sets = {d: shingle_set(t) for d, t in texts.items()} | {1000: shingle_set(texts[0] + " more")}
+    want = components_of(sets)
+    one = {want[7], want[1000]}  # the two sets of 7
+    assert found == {d: min(one) if want[d] in one else want[d] for d in texts}
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(1)
     for share in (0.7, 0.8, 0.95):
@@ -311,6 +344,20 @@ def test_components(spark):
     assert found == {x: r for x, r in root.items() if any(x in e and e[0] != e[1] for e in edges)}
 
 
+def test_components_in_one_task(spark):
+    """Up to the bound in one task, beyond it in rounds: the same components."""
+    import random
+
+    rng = random.Random(3)
+    path = [*range(1000, 1400)]
+    rng.shuffle(path)
+    edges = [*zip(path, path[1:])] + [(rng.randrange(500), rng.randrange(500)) for _ in range(250)] + [(2500, k) for k in range(2000, 2400)] + [(-5, 3000), (8, 8)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(3)
+    want = sorted(common.components(df).collect())
+    assert sorted(common.components(df, at_once=len(edges)).collect()) == sorted(common.components(df, at_once=1).collect()) == want
+    assert common.components(df.where("a = b"), at_once=5).count() == 0
+
+
 # Licenses.
 
 
