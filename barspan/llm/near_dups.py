@@ -217,7 +217,7 @@ def across(members: DataFrame, docs: DataFrame, sketches: DataFrame) -> DataFram
         earlier = np.zeros((len(lists), max(1, len(number))), np.float32)
         for n, ks in enumerate(lists):
             earlier[n, [number[k] for k in ks if k in number]] = 1
-        rows, columns = np.flatnonzero(left), np.flatnonzero(~left)
+        rows, columns = np.flatnonzero(left & (sizes > 0)), np.flatnonzero(~left & (sizes > 0))  # a doc_id may also come without words
         out = []
         for r in rows:
             flips = np.bitwise_count((bits[r] ^ bits[columns]).view(np.uint64)).sum(1)

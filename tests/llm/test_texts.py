@@ -305,6 +305,26 @@ def test_near_duplicates_take_few_stages(spark, monkeypatch):
     assert found == {d: min(one) if want[d] in one else want[d] for d in texts}
 
 
+def test_near_duplicates_of_an_id_with_and_without_words(spark, monkeypatch):
+    """One doc_id with a text and an empty row, in a bucket that is compared block by block."""
+    import random
+
+    from tests.llm.conftest import frame, word
+
+    monkeypatch.setattr(near_dups, "CROSS", (2, 3))
+    rng = random.Random(5)
+    base = [word(rng) + str(k) for k in range(60)]
+    texts = {}
+    for d in range(90):
+        copy = list(base)
+        for _ in range(rng.randint(0, 3)):
+            copy[rng.randrange(60)] = word(rng) + "x"
+        texts[d] = " ".join(copy)
+    docs = frame(spark, [(d, t, None) for d, t in texts.items()] + [(d, "", None) for d in texts])
+    found = {r.doc_id: r.component_id for r in near_dups.near_duplicates(docs).collect()}
+    assert found == components_of({d: shingle_set(t) for d, t in texts.items()})
+
+
 def test_odd_sketch_estimates():
     rng = np.random.default_rng(1)
     for share in (0.7, 0.8, 0.95):
